@@ -70,11 +70,11 @@ def mix(docs: DataFrame, size: Column, favour: Column | None = None, weights: tu
     got = base.join(by, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     got = got.withColumn("whole", F.floor(ratio)).withColumn("rest", ratio - F.col("whole"))
-    p = F.least(F.lit(1.0), F.col("rest") * (F.col("favour") * F.col("source_size")) / F.greatest(F.col("favour_sum"), F.lit(1)))
-    got = got.withColumn("p", p).withColumn("u", uniform(F.col("doc_id"), seed))
-    # q / (1 + q) for q = u/(1-u) / (p/(1-p)): it ranks alike and lies between 0 and 1
-    a, b = F.col("u") * (1 - F.col("p")), (1 - F.col("u")) * F.col("p")
-    got = got.withColumn("rank", F.when(F.col("p") <= 0, F.lit(1.0)).otherwise(a / (a + b)))
+    got = got.withColumn("u", uniform(F.col("doc_id"), seed))
+    # odds of inclusion: the source's, rest / (1 - rest), times favour over its mean; no document is ever certain here.
+    # rank is q / (1 + q) for q = random odds / odds of inclusion: it orders alike and lies between 0 and 1
+    a, b = F.col("u") * (1 - F.col("rest")) * F.col("favour_sum"), (1 - F.col("u")) * F.col("rest") * (F.col("favour") * F.col("source_size"))
+    got = got.withColumn("rank", F.when(b <= 0, F.lit(1.0)).otherwise(a / (a + b)))
     got = got.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     got = got.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("rank") * BUCKETS)))
     sums = got.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
@@ -128,9 +128,9 @@ WITH d AS (
   FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source
 ), r AS (
   SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS need,
-         least(1.0::DOUBLE, (ratio - floor(ratio)) * (favour * source_size) / greatest(favour_sum, 1)) AS p FROM p
+         u * (1 - (ratio - floor(ratio))) * favour_sum AS a, (1 - u) * (ratio - floor(ratio)) * (favour * source_size) AS b FROM p
 ), k AS (
-  SELECT *, CASE WHEN p <= 0 THEN 1.0::DOUBLE ELSE u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS rk FROM r
+  SELECT *, CASE WHEN b <= 0 THEN 1.0::DOUBLE ELSE a / (a + b) END AS rk FROM r
 ), c AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k
 )
