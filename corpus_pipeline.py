@@ -1,8 +1,79 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's documents.  All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import language_id, mixing, near_dedup, packing, secret_scan
+from corvane.llm.common import materialised, words
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told: null or without a letter, or no language with a quarter of the votes."""
+    net = language_id.learn(docs)
+    got = language_id.predicted(docs, net)
+    return got.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= 0.25)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: int = 100_000) -> DataFrame:
+    """One document of each class of near-duplicates stays, the one with the least doc_id; rows that repeat it go too."""
+    classes, keepers = near_dedup.near_classes(docs.select("doc_id", "text"))
+    own = keepers.select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"), F.col("n").alias("k_n"))
+    # rows of classes of two and more, and whether they are the ones that stay
+    gone = classes.join(own, F.col("class_id").eqNullSafe(F.col("k_id")), "inner").where(F.col("doc_id").isNotNull() | F.col("k_id").isNull())
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), (F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key"))).alias("_stays"), "k_n")
+    gone = materialised(gone.where(~F.col("_stays") | (F.col("k_n") > 1)).distinct(), "copies")
+    few = F.broadcast(gone) if gone.count() <= hold else gone
+    told = docs.withColumn("_k", F.md5("text"))
+    told = told.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    once = told.where(F.col("_id").isNull() & F.col("_key").isNull()).select(*docs.columns)
+    again = told.where("_stays").dropDuplicates(["_k"]).select(*docs.columns)
+    return once.unionByName(again)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; the documents stay."""
+    got = secret_scan.redact(docs)
+    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else got
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    size = F.size(words(F.col("text"))).cast("long")
+    how = mixing.plan(docs, size, mixing.favoured(size))
+    got = mixing.with_copies(docs, how, size, mixing.favoured(size)).where("_copies > 0")
+    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 2048 tokens; each row is a piece of a document with its ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_languages),
+    ("near_dedup", drop_near_copies),
+    ("secret_scan", hide_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: A trained network, signatures and a compressor decide here; SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialised(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,40 +56,62 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(docs: DataFrame, size: Column, favour: Column | None = None, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
-    """How often each document is taken: doc_id, source, size, source_size, target, copies.
+def _ranked(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source, _size, _favour, ...) with their source's plan, ``_rank`` and ``_bucket``."""
+    got = rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    got = got.withColumn("_u", uniform(F.col("doc_id"), seed))
+    # odds of inclusion: the source's, rest / (1 - rest), times favour over its mean; no document is ever certain here.
+    # rank is q / (1 + q) for q = random odds / odds of inclusion: it orders alike and lies between 0 and 1
+    a, b = F.col("_u") * (1 - F.col("rest")) * F.col("favour_sum"), (1 - F.col("_u")) * F.col("rest") * (F.col("_favour") * F.col("source_size"))
+    got = got.withColumn("_rank", F.when(b <= 0, F.lit(1.0)).otherwise(a / (a + b)))
+    return got.withColumn("_bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("_rank") * BUCKETS)))
+
+
+def _row() -> Column:
+    return F.struct(F.col("_rank").alias("rank"), F.col("doc_id").alias("doc_id"), F.col("_size").alias("size"))
+
+
+def plan(docs: DataFrame, size: Column, favour: Column | None = None, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
+    """One row for each source: its size and target, the whole copies of each document, and where the ranking is cut.
 
     ``size`` and ``favour`` (whole, 0 or more; null: the same for all) are
-    expressions over ``docs``.  Documents of size 0 take nothing; rows that
-    repeat are documents of their own; null doc_id and source are values like
-    others; an empty table gives no rows.
+    expressions over ``docs`` (doc_id, source, ...).
     """
-    base = docs.select("doc_id", "source", size.cast("long").alias("size")).withColumn("favour", F.lit(1).cast("long") if favour is None else favour.cast("long"))
+    base = docs.select("doc_id", "source", size.cast("long").alias("_size"), (F.lit(1) if favour is None else favour).cast("long").alias("_favour"))
     base = materialised(base, "mix-sizes")
-    by = targets(base, weights, share, limit).withColumnRenamed("source", "_source")
-    got = base.join(by, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    by = targets(base.withColumnsRenamed({"_size": "size", "_favour": "favour"}), weights, share, limit)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    got = got.withColumn("whole", F.floor(ratio)).withColumn("rest", ratio - F.col("whole"))
-    got = got.withColumn("u", uniform(F.col("doc_id"), seed))
-    # odds of inclusion: the source's, rest / (1 - rest), times favour over its mean; no document is ever certain here.
-    # rank is q / (1 + q) for q = random odds / odds of inclusion: it orders alike and lies between 0 and 1
-    a, b = F.col("u") * (1 - F.col("rest")) * F.col("favour_sum"), (1 - F.col("u")) * F.col("rest") * (F.col("favour") * F.col("source_size"))
-    got = got.withColumn("rank", F.when(b <= 0, F.lit(1.0)).otherwise(a / (a + b)))
-    got = got.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    got = got.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("rank") * BUCKETS)))
-    sums = got.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    up_to = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    by = by.withColumn("whole", F.floor(ratio)).withColumn("rest", ratio - F.col("whole"))
+    by = materialised(by.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-sources")
+    got = _ranked(base, by, seed)
+    sums = got.groupBy("source", "_bucket").agg(F.sum("_size").alias("words"), F.first("need").alias("need"))
+    up_to = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
     sums = sums.withColumn("end", F.sum("words").over(up_to)).where("end >= need and end - words < need")
-    cut = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("cut"), (F.col("end") - F.col("words")).alias("start"))
-    got = got.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    cut = materialised(sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("cut_bucket"), (F.col("end") - F.col("words")).alias("start")), "mix-buckets")
+    # the one bucket of each source where the cut falls is ordered row by row
+    inside = W.partitionBy("source").orderBy("_rank", "doc_id", "_size").rowsBetween(W.unboundedPreceding, 0)
+    near = got.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("cut_bucket"))).drop("_s")
+    near = near.withColumn("end", F.col("start") + F.sum("_size").over(inside))
+    over, under = F.col("end") - F.col("need"), F.col("need") - (F.col("end") - F.col("_size"))
+    last = near.where((over <= 0) | ((under > 0) & (over < under))).groupBy(F.col("source").alias("_t")).agg(F.max(_row()).alias("cut"))
+    out = by.join(cut.drop("start"), F.col("source").eqNullSafe(F.col("_s")), "left").join(last, F.col("source").eqNullSafe(F.col("_t")), "left")
+    return materialised(out.drop("_s", "_t"), "mix-plan")
+
+
+def with_copies(docs: DataFrame, plan: DataFrame, size: Column, favour: Column | None = None, seed: str = "mix") -> DataFrame:
+    """``docs``, all columns kept, plus ``_size``, ``_copies`` and the columns of the plan.
+
+    Nothing but the plan's row of a source is needed for that, so documents stay
+    where they are.  Documents of size 0 take nothing that counts; rows with the
+    same doc_id, source and size are taken alike; null doc_id and source are
+    values like others; an empty table gives no rows.
+    """
+    rows = docs.withColumns({"_size": size.cast("long"), "_favour": (F.lit(1) if favour is None else favour).cast("long")})
+    got = _ranked(rows, plan, seed)
+    inside = (F.col("_bucket") < F.col("cut_bucket")) | ((F.col("_bucket") == F.col("cut_bucket")) & F.coalesce(_row() <= F.col("cut"), F.lit(False)))
     # without a cut there is nothing to fill, or all of the source fills it
-    easy = got.where("cut is null or bucket <> cut").withColumn("more", F.when(F.col("cut").isNull(), F.col("need") > 0).otherwise(F.col("bucket") < F.col("cut")))
-    inside = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    hard = got.where("bucket = cut").withColumn("end", F.col("start") + F.sum("size").over(inside))
-    over, under = F.col("end") - F.col("need"), F.col("need") - (F.col("end") - F.col("size"))
-    hard = hard.withColumn("more", (over <= 0) | ((under > 0) & (over < under))).drop("end")
-    out = easy.unionByName(hard)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more").cast("long")).alias("copies"))
+    more = F.when(F.col("cut_bucket").isNull(), F.col("need") > 0).otherwise(inside)
+    return got.withColumn("_copies", F.col("whole") + more.cast("long")).drop("_favour", "_u", "_rank", "_bucket")
 
 
 def favoured(size: Column) -> Column:
@@ -99,9 +121,12 @@ def favoured(size: Column) -> Column:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, repeats counted."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    got = mix(docs, F.col("size"), favoured(F.col("size")))
-    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    size = F.size(words(F.col("text"))).cast("long")
+    # word counts are few bytes a document: they are written once, texts are read once
+    docs = materialised(table(spark, sf_dir, "documents").select("doc_id", "source", size.alias("size")), "mix-words")
+    how = plan(docs, F.col("size"), favoured(F.col("size")))
+    got = with_copies(docs, how, F.col("size"), favoured(F.col("size")))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"))
 
 
 ORACLE_SQL = r"""
