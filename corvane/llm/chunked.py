@@ -7,8 +7,7 @@ cut (at white space) and the ids of each distinct piece are asked of the
 between versions) goes to the library as a whole text, so ids are always the
 library's own.
 
-The cache holds at most ``max_entries`` pieces per Python worker and starts anew
-when it is full; it only affects speed.
+The caches hold a bounded number of pieces per Python worker and only affect speed.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -37,6 +37,31 @@ _WORD_PIECES = re.compile(f"{_ENDS}|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_D
 _TWO_SPACES = tuple(["  "] + [a + " " for a in _SPACE] + [" " + a for a in _SPACE])
 
 
+class Kept(dict):
+    """A cache that works out what it lacks; when it is full, its entries count as old, and those used again come back."""
+
+    def __init__(self, work: Callable, most: int):
+        super().__init__()
+        self.work, self.most, self.old = work, most, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.work(key)
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[key] = got
+        return got
+
+
+def marked(piece: str) -> str:
+    """A pre-token as byte-level vocabularies write it."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", _BLANK)
+    return piece.encode().decode("latin-1").translate(_BYTE_MARKS)
+
+
 class ChunkEncoder:
     """Ids of texts under the ``tokenizers`` file at ``path``, as packed arrays."""
 
@@ -60,9 +85,9 @@ class ChunkEncoder:
             self.kind = "word"
         else:
             self.kind = "whole"
-        self.max_entries = max_entries
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces = Kept(self._piece, max_entries)
+        self.chunks = Kept(self._chunk, max_entries)
+        self.find = (_WORD_PIECES if self.kind == "word" else _BYTE_PIECES).findall
 
     # -- whole texts -----------------------------------------------------
     def whole(self, text: str) -> bytes:
@@ -88,55 +113,21 @@ class ChunkEncoder:
             return chunk
         return chunk[1:] if chunk[:1] == " " else f" {chunk}"
 
-    # -- the cache -------------------------------------------------------
-    def _learn_pieces(self, new) -> None:
-        """Asks the library's model for the ids of each new pre-token."""
-        tokenize, pieces, code = self.tokenizer.model.tokenize, self.pieces, self.code
-        for p in new:
-            if p.isascii() and p.isprintable():
-                mapped = p.replace(" ", _BLANK)
-            else:
-                mapped = p.encode().decode("latin-1").translate(_BYTE_MARKS)
-            pieces[p] = array(code, [t.id for t in tokenize(mapped)]).tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        """Puts the ids of all these chunks into the cache."""
-        new = chunks - self.chunks.keys()
-        if not new:
-            return
-        if len(self.chunks) + len(new) > self.max_entries:
-            self.chunks.clear()
-            new = chunks
-        find = (_WORD_PIECES if self.kind == "word" else _BYTE_PIECES).findall
-        cut = {c: find(self._of_chunk(c)) for c in new}
-        used = {p for ps in cut.values() for p in ps}
-        if len(self.pieces) + len(used) > self.max_entries:
-            self.pieces.clear()
-        self._learn_pieces(used - self.pieces.keys())
-        get = self.pieces.__getitem__
-        for c, ps in cut.items():
-            self.chunks[c] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-
-    def prepared(self, texts: list[str | None]) -> list[list[str] | bytes]:
-        """For each text its chunks, all of them in the cache, or its ids if it isn't sure()."""
-        out: list[list[str] | bytes] = []
-        seen: set[str] = set()
-        for t in texts:
-            if not t:
-                out.append(b"")
-            elif self.sure(t):
-                out.append(c := self.cut(t))
-                seen.update(c)
-            else:
-                out.append(self.whole(t))
-        self.learn(seen)
-        return out
+    def _piece(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(marked(piece))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.find(self._of_chunk(chunk))
+        return self.pieces[found[0]] if len(found) == 1 else b"".join([self.pieces[p] for p in found])
+
+    def one(self, text: str | None) -> bytes:
+        """Packed ids (``self.dtype``) of a text; null counts as empty."""
+        if not text:
+            return b""
+        return b"".join(map(self.chunks.__getitem__, self.cut(text))) if self.sure(text) else self.whole(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids (``self.dtype``) of each text; null counts as empty."""
-        got = self.prepared(texts)
-        get = self.chunks.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in got]
+        return [self.one(t) for t in texts]
 
 
 _made: dict[tuple[str, int], ChunkEncoder] = {}

@@ -181,8 +181,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, with
             names, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             for i, j in slices(texts):
                 out = []
-                for doc, packed in zip(names[i:j], enc.encode(texts[i:j])):
-                    out += packer.add(doc, np.frombuffer(packed + end, enc.dtype))
+                for doc, text in zip(names[i:j], texts[i:j]):
+                    out += packer.add(doc, np.frombuffer(enc.one(text) + end, enc.dtype))
                 if out:
                     yield rows(out)
         if out := packer.finish():

@@ -7,28 +7,28 @@ Blocks are independent, carry a checksum, and hold checkpoints (states and strea
 position) from which decoding can start inside.
 
 The file format is a Parquet table, so that any store Spark reaches will do.  A
-row is a segment: part and segment numbers, tokens before it in its part, the
-names and lengths of its documents, its blocks.  Parts are in the order of
-doc_id.  A second table of the same folder holds the frequencies.
+row is a segment: its part and number, its first doc_id, its tokens, the names
+and lengths of its documents, its blocks.  Parts, and segments of a part, follow
+each other by their first doc_id.  A second table of the same folder holds the frequencies.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunked import encoder, slices
-from .common import scratch_path, small_batches, table
+from .common import drop_scratch, scratch_path, small_batches, table
 
 #: Fixed values of the format: frequency bits, least state, states of a block, steps of a block, steps between checkpoints.
 SCALE, LOW, LANES, STEPS, CHECK = 20, 1 << 31, 64, 512, 256
@@ -147,97 +147,135 @@ def decode_segment(blocks: list[dict], f: Frequencies) -> np.ndarray:
 
 _BLOCK = pa.struct([("stream", pa.binary()), ("states", pa.binary()), ("marks", pa.list_(pa.struct([("step", pa.int32()), ("at", pa.int32()), ("states", pa.binary())]))), ("n", pa.int32()), ("crc", pa.int64())])
 _BLOCK_SQL = "array<struct<stream:binary,states:binary,marks:array<struct<step:int,at:int,states:binary>>,n:int,crc:bigint>>"
-SEGMENT = f"part int, segment int, first long, n long, docs array<bigint>, lengths array<bigint>, blocks {_BLOCK_SQL}"
+SEGMENT = f"part long, segment long, low long, n long, docs array<bigint>, lengths array<bigint>, blocks {_BLOCK_SQL}"
 
 
-def frequencies(docs: DataFrame, path: str, end_id: int) -> Frequencies:
-    """Counts of all ids of all documents: each task counts the chunks it reads, then the ids of those."""
+def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """Rows of tokens (part, doc_id, ids), and for each task its counts of ids (doc_id null, ids null, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, part, press = encoder(path, 700_000), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         total = np.zeros(max(enc.vocabulary, end_id + 1), np.int64)
+        end = np.array([end_id], enc.dtype).tobytes()
+
+        def rows(names: list, ids: list, counts: list) -> pa.RecordBatch:
+            arrays = [pa.array([part] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "ids", "counts"])
+
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            total[end_id] += len(texts)
-            for i, j in slices(texts):
-                chunks: Counter[str] = Counter()
-                for x in enc.prepared(texts[i:j]):
-                    if isinstance(x, bytes):
-                        np.add.at(total, np.frombuffer(x, enc.dtype), 1)
-                    else:
-                        chunks.update(x)
-                parts = [enc.chunks[c] for c in chunks]
-                ids = np.frombuffer(b"".join(parts), enc.dtype)
-                times = np.repeat(np.fromiter(chunks.values(), np.int64, len(chunks)), [len(p) // enc.dtype.itemsize for p in parts])
-                total += np.bincount(ids, weights=times, minlength=len(total)).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+            names, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            for i, j in slices(texts, 2_000_000):
+                packed = [enc.one(t) + end for t in texts[i:j]]
+                total += np.bincount(np.frombuffer(b"".join(packed), enc.dtype), minlength=len(total))
+                yield rows(names[i:j], [press.compress(p) for p in packed], [None] * (j - i))
+        yield rows([None], [None], [zlib.compress(total.astype("<i8").tobytes())])
 
     small_batches(docs.sparkSession)
-    # a row for each id of the vocabulary at most
-    rows = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part long, doc_id long, ids binary, counts binary")
+
+
+def _frequencies(tokens: DataFrame) -> Frequencies:
+    """The tasks' counts summed; what comes to the driver is a row for each id of the vocabulary at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for c in batch["counts"].to_pylist():
+                got = np.frombuffer(zlib.decompress(c), "<i8")
+                total = got if total is None else total + got
+        if total is not None:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     rows.sort()
     return Frequencies(np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64))
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment: int = 32 * BLOCK, part_bytes: int = 64 << 20) -> None:
-    """Writes the ids of all rows of ``docs`` (doc_id, text), each followed by ``end_id``, in ascending doc_id order.
+def _in_order(ranges: DataFrame, low: str, high: str) -> bool:
+    """Whether ranges that follow each other by their lower ends never touch."""
+    before = F.lag(high).over(W.orderBy(low, high))
+    return ranges.withColumn("_before", before).where(F.col("_before") >= F.col(low)).isEmpty()
 
-    Null texts are empty ones; null doc_ids come first; rows that share a doc_id
-    are ordered by their text.  Texts are counted, then dealt by ranges of doc_id.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    f = frequencies(docs, path, end_id)
-    spark.createDataFrame([(json.dumps({"ids": f.ids.tolist(), "share": f.share.tolist()}),)], "frequencies string").coalesce(1).write.text(f"{folder}/frequencies")
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-int(size) // part_bytes))
-    dealt = docs.repartitionByRange(max(parts, spark.sparkContext.defaultParallelism), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+
+def _segments(tokens: DataFrame, f: Frequencies, vocabulary: int, segment: int) -> DataFrame:
+    """SEGMENT rows of tokens whose tasks read them in order; a segment lies in one part."""
+    dtype = np.dtype("<u2") if vocabulary <= 65_536 else np.dtype("<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(path), TaskContext.get().partitionId()
-        end, first, number = np.array([end_id], enc.dtype).tobytes(), 0, 0
+        task, number, size, now = TaskContext.get().partitionId(), 0, 0, None
         names: list[int | None] = []
         held: list[bytes] = []
-        size = 0
+        press = zstandard.ZstdDecompressor()
 
         def flush() -> pa.RecordBatch:
-            nonlocal names, held, size, first, number
-            lengths = [len(b) // enc.dtype.itemsize for b in held]
-            ids = np.frombuffer(b"".join(held), enc.dtype)
+            nonlocal names, held, size, number
+            lengths = [len(b) // dtype.itemsize for b in held]
+            ids = np.frombuffer(b"".join(held), dtype)
             blocks = [b | {"marks": [dict(zip(("step", "at", "states"), m)) for m in b["marks"]]} for b in encode_segment(ids, f)]
-            one = [[part], [number], [first], [len(ids)], [names], [lengths], [blocks]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(_BLOCK)]
-            first, number, names, held, size = first + len(ids), number + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(one, kinds)], ["part", "segment", "first", "n", "docs", "lengths", "blocks"])
+            one = [[now], [task << 32 | number], [names[0]], [len(ids)], [names], [lengths], [blocks]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(_BLOCK)]
+            number, names, held, size = number + 1, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(one, kinds)], ["part", "segment", "low", "n", "docs", "lengths", "blocks"])
 
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for i, j in slices(texts, 2_000_000):
-                for name, packed in zip(ids[i:j], enc.encode(texts[i:j])):
-                    names.append(name)
-                    held.append(packed + end)
-                    size += len(held[-1]) // enc.dtype.itemsize
-                    if size >= segment:
-                        yield flush()
+            for part, name, packed in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
+                if held and (part != now or size >= segment):
+                    yield flush()
+                now = part
+                names.append(name)
+                held.append(press.decompress(packed))
+                size += len(held[-1]) // dtype.itemsize
         if held:
             yield flush()
 
-    dealt.mapInArrow(run, SEGMENT).write.option("compression", "none").parquet(f"{folder}/segments")
+    small_batches(tokens.sparkSession)
+    return tokens.select("part", "doc_id", "ids").mapInArrow(run, SEGMENT)
+
+
+def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment: int = 32 * BLOCK, part_bytes: int = 48 << 20) -> None:
+    """Writes the ids of all rows of ``docs`` (doc_id, text), each followed by ``end_id``, in ascending doc_id order.
+
+    Null texts are empty ones; null doc_ids come first; rows that share a doc_id
+    are ordered by their ids.  Texts are encoded once.  Where the tasks that read
+    them hold ranges of doc_id that don't overlap, as with clustered input, ids
+    stay in the tasks' parts; otherwise they are dealt by ranges of doc_id.
+    """
+    spark, between = docs.sparkSession, f"{folder}/unordered"
+    _tokens(docs, path, end_id).write.option("compression", "none").parquet(between)
+    tokens = spark.read.parquet(between)
+    f = _frequencies(tokens)
+    spark.createDataFrame([(json.dumps({"ids": f.ids.tolist(), "share": f.share.tolist()}),)], "frequencies string").coalesce(1).write.text(f"{folder}/frequencies")
+    vocabulary, rows = encoder(path).vocabulary, tokens.where("ids is not null")
+    ends = rows.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    done = False
+    if ends.where("unnamed").isEmpty() and _in_order(ends, "low", "high"):
+        _segments(rows.sortWithinPartitions("part", "doc_id", "ids"), f, vocabulary, segment).write.option("compression", "none").parquet(f"{folder}/segments")
+        # a file read in two tasks may have been out of order inside
+        told = spark.read.parquet(f"{folder}/segments").select("low", F.array_max("docs").alias("high"), "segment")
+        done = _in_order(told, "low", "high")
+        if not done:
+            drop_scratch(spark, f"{folder}/segments")
+    if not done:
+        size = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+        parts = max(spark.sparkContext.defaultParallelism, -(-int(size) // part_bytes))
+        dealt = rows.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("ids")).withColumn("part", F.spark_partition_id().cast("long"))
+        _segments(dealt.sortWithinPartitions("doc_id", "ids"), f, vocabulary, segment).write.option("compression", "none").parquet(f"{folder}/segments")
+    drop_scratch(spark, between)
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of each document of a folder that write() made."""
     told = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/frequencies").collect()))
-    share = np.array(told["share"], np.int64)
-    f = Frequencies.__new__(Frequencies)
-    f.__init__(np.array(told["ids"], np.int64), share)
+    f = Frequencies(np.array(told["ids"], np.int64), np.array(told["share"], np.int64))
     segments = spark.read.parquet(f"{folder}/segments")
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    some = segments.select("part", "segment", "low", "n")
+    inside = some.withColumn("_in", F.coalesce(F.sum("n").over(upto(W.partitionBy("part").orderBy("low", "segment"))), F.lit(0)))
     # a row for each part
-    parts = segments.groupBy("part").agg(F.sum("n").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("before"))
+    parts = some.groupBy("part").agg(F.sum("n").alias("_n"), F.min(F.struct("low")).alias("_low"))
+    parts = parts.select("part", F.coalesce(F.sum("_n").over(upto(W.orderBy("_low", "part"))), F.lit(0)).alias("_before"))
+    places = inside.join(parts, "part").select("segment", (F.col("_in") + F.col("_before")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,12 +288,13 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
                 found = [ids[a:b].astype("i4") for a, b in zip(starts, ends)] if with_ids else [None] * len(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["docs"], pa.int64()), pa.array([r["part"]] * len(ends), pa.int32()), pa.array(starts + r["first"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(crcs, pa.int64()), pa.array(found, pa.list_(pa.int32()))],
-                    ["doc_id", "part", "at", "n_tokens", "ids_crc32", "ids"],
+                    [pa.array(r["docs"], pa.int64()), pa.array([r["segment"]] * len(ends), pa.int64()), pa.array(starts, pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(crcs, pa.int64()), pa.array(found, pa.list_(pa.int32()))],
+                    ["doc_id", "segment", "at", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    got = segments.mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long, ids array<int>")
-    got = got.join(parts, "part").withColumn("start", F.col("at") + F.col("before"))
+    small_batches(spark, 8)
+    got = segments.select("segment", "docs", "lengths", "blocks").mapInArrow(run, "doc_id long, segment long, at long, n_tokens long, ids_crc32 long, ids array<int>")
+    got = got.join(places, "segment").withColumn("start", F.col("at") + F.col("before"))
     return got.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
