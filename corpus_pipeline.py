@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import language_id, mixing, near_dedup, packing, secret_scan
-from corvane.llm.common import materialised, words
+from corvane.llm.common import free_name, materialised, words
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: null or without a letter, or no language with a quarter of the votes."""
     net = language_id.learn(docs)
-    got = language_id.predicted(docs, net)
-    return got.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= 0.25)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    got = language_id.predicted(docs, net, lang, score)
+    return got.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= 0.25)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: int = 100_000) -> DataFrame:
@@ -33,10 +34,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: in
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), (F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key"))).alias("_stays"), "k_n")
     gone = materialised(gone.where(~F.col("_stays") | (F.col("k_n") > 1)).distinct(), "copies")
     few = F.broadcast(gone) if gone.count() <= hold else gone
-    told = docs.withColumn("_k", F.md5("text"))
-    told = told.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    once = told.where(F.col("_id").isNull() & F.col("_key").isNull()).select(*docs.columns)
-    again = told.where("_stays").dropDuplicates(["_k"]).select(*docs.columns)
+    # a document travels as one column, so its own names don't matter
+    told = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), F.md5("text").alias("_k"))
+    told = told.join(few, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    once = told.where(F.col("_id").isNull() & F.col("_key").isNull()).select("_doc.*")
+    again = told.where("_stays").dropDuplicates(["_k"]).select("_doc.*")
     return once.unionByName(again)
 
 
@@ -49,9 +51,11 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     size = F.size(words(F.col("text"))).cast("long")
-    how = mixing.plan(docs, size, mixing.favoured(size))
-    got = mixing.with_copies(docs, how, size, mixing.favoured(size)).where("_copies > 0")
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    sized = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", size.alias("_words"))
+    words_of = F.col("_words")
+    how = mixing.plan(sized, words_of, mixing.favoured(words_of))
+    got = mixing.with_copies(sized, how, words_of, mixing.favoured(words_of)).where("_copies > 0")
+    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

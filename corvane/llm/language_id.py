@@ -167,8 +167,8 @@ def identify(net: ByteNetwork | None, texts: list[str | None]) -> list[tuple[str
     return out
 
 
-def predicted(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
-    """``docs``, all columns kept, plus ``_lang`` and ``_score`` from ``text`` alone."""
+def predicted(docs: DataFrame, net: ByteNetwork | None, lang: str = "_lang", score: str = "_score") -> DataFrame:
+    """``docs``, all columns kept, plus the language and its probability, from ``text`` alone, under names that ``docs`` doesn't have."""
     small_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
@@ -176,9 +176,9 @@ def predicted(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
         for batch in batches:
             got = identify(net, batch.column(place).to_pylist())
             more = [pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, lang, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
