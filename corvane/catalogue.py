@@ -7,6 +7,7 @@ label as parent, pages files.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from .functions import text as T
 from .models import model
 from .operators import cite, dedup, extract, layout, retrieve, rules, store, structure, tables
 from .plans import answer, ingest
+from .session import shared_dir
 from .sources import files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,11 +485,7 @@ def q40_html_table_to_md(spark, d):
 
 @_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def q41_csv_round_trip(spark, d):
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    n, path = _t(spark, d, "nation"), f"{shared}/backup-{uuid.uuid4().hex}"
+    n, path = _t(spark, d, "nation"), f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
     files.backup_csv(n, path)
     return files.restore_csv(spark, path, n.schema)
 

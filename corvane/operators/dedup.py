@@ -49,14 +49,14 @@ def clusters(texts: DataFrame, least: float = 0.88, rounds: int = 1000) -> DataF
     Each round settles the texts without an undecided earlier neighbour; links stay
     distributed and are written between rounds, so lineage stays short.
     """
-    spark = texts.sparkSession
-    links = similar_pairs(texts, least).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else similar_pairs(texts, least).persist()
+    kept = lambda df: df.checkpoint() if texts.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    links = kept(similar_pairs(texts, least))
     state = texts.select("pos", F.lit(None).cast("boolean").alias("is_head"))
     for _ in range(rounds):
         seen = links.join(state.select(F.col("pos").alias("earlier"), "is_head"), "earlier").groupBy(F.col("later").alias("pos"))
         seen = seen.agg(F.max(F.coalesce("is_head", F.lit(False))).alias("near_head"), F.max(F.col("is_head").isNull()).alias("waits"))
         decided = F.when(F.col("near_head"), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        state = state.join(seen, "pos", "left").select("pos", F.coalesce("is_head", decided).alias("is_head")).persist()
+        state = kept(state.join(seen, "pos", "left").select("pos", F.coalesce("is_head", decided).alias("is_head")))
         if state.where("is_head is null").isEmpty():
             break
     heads = links.join(state.where("is_head").select(F.col("pos").alias("earlier")), "earlier").groupBy(F.col("later").alias("pos")).agg(F.min("earlier").alias("first"))
