@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: ASCII white space, and the words between it.
 WHITE = "\\x20\\x09-\\x0D"
 WORD = f"[^{WHITE}]+"
@@ -23,22 +24,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local folder is made and set, on a local master only.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
