@@ -18,68 +18,50 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunked import _BLANK, _BYTE_MARKS, _BYTE_PIECES, ChunkEncoder
+from .chunked import _BYTE_PIECES, ChunkEncoder, Kept, marked
 from .common import small_batches, table
 
 
 class PrefixCounts:
     """Exact token counts at all prefixes, for a byte-level ``tokenizers`` file."""
 
-    def __init__(self, path: str, max_entries: int = 400_000):
+    def __init__(self, path: str, max_entries: int = 500_000):
         self.rules = ChunkEncoder(path)
         if self.rules.kind != "byte":
             raise ValueError("prefix counts need a byte-level BPE file")
         self.tokenize = self.rules.tokenizer.model.tokenize
         self.vocabulary = self.rules.tokenizer.get_vocab(with_added_tokens=False)
         self.longest = max(map(len, self.vocabulary))
-        self.max_entries = max_entries
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.tables: dict[str, bytes | tuple[int, ...]] = {}
-        self.chunks: dict[str, int] = {}
+        self.follows = Kept(self._may_follow, max_entries)
+        self.tables = Kept(self._table, max_entries)
+        self.chunks = Kept(self._chunk, max_entries)
 
     # -- the tables ------------------------------------------------------
-    def _may_follow(self, before: str, token: str) -> bool:
-        key = (before, token)
-        got = self.follows.get(key)
-        if got is None:
-            if len(self.follows) >= self.max_entries:
-                self.follows.clear()
-            want = [before, token] if before else [token]
-            got = self.follows[key] = [t.value for t in self.tokenize(before + token)] == want
-        return got
+    def _may_follow(self, pair: tuple[str, str]) -> bool:
+        before, token = pair
+        return [t.value for t in self.tokenize(before + token)] == ([before, token] if before else [token])
 
     def prefixes(self, piece: str) -> bytes | tuple[int, ...]:
         """Counts at all byte prefixes (0 to all) of one pre-token."""
-        found = self.tables.get(piece)
-        if found is not None:
-            return found
-        if piece.isascii() and piece.isprintable():
-            marks = piece.replace(" ", _BLANK)
-        else:
-            marks = piece.encode().decode("latin-1").translate(_BYTE_MARKS)
-        last, counts, longest, known = [""], [0], self.longest, self.vocabulary
+        return self.tables[piece]
+
+    def _table(self, piece: str) -> bytes | tuple[int, ...]:
+        marks = marked(piece)
+        last, counts, longest, known, follows = [""], [0], self.longest, self.vocabulary, self.follows
         for end in range(1, len(marks) + 1):
             for start in range(max(0, end - longest), end):
                 token = marks[start:end]
-                if token in known and self._may_follow(last[start], token):
+                if token in known and follows[last[start], token]:
                     last.append(token)
                     counts.append(counts[start] + 1)
                     break
             else:  # pragma: no cover - every byte is in the vocabulary
                 raise ValueError(f"no token ends at byte {end} of {piece!r}")
-        if len(self.tables) >= self.max_entries:
-            self.tables.clear()
-        out = self.tables[piece] = bytes(counts) if counts[-1] < 256 and max(counts) < 256 else tuple(counts)
-        return out
+        return bytes(counts) if len(counts) < 256 else tuple(counts)
 
     def _chunk(self, chunk: str) -> int:
-        n = self.chunks.get(chunk)
-        if n is None:
-            if len(self.chunks) >= self.max_entries:
-                self.chunks.clear()
-            n = sum(self.prefixes(p)[-1] for p in _BYTE_PIECES.findall(self.rules._of_chunk(chunk)))
-            self.chunks[chunk] = n
-        return n
+        tables = self.tables
+        return sum([tables[p][-1] for p in _BYTE_PIECES.findall(self.rules._of_chunk(chunk))])
 
     # -- questions about texts -------------------------------------------
     def count(self, text: str | None) -> int:
@@ -88,7 +70,7 @@ class PrefixCounts:
             return 0
         if not self.rules.sure(text):
             return len(self.rules.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(self._chunk, self.rules.cut(text)))
+        return sum(map(self.chunks.__getitem__, self.rules.cut(text)))
 
     def at(self, text: str, chars: int) -> int:
         """Tokens of the first ``chars`` characters, exactly as if they were a text of their own."""
@@ -97,7 +79,7 @@ class PrefixCounts:
             return self.count(head)
         cut, n = self.rules.cut(head), 0
         for c in cut[:-1]:
-            n += self._chunk(c)
+            n += self.chunks[c]
         return n + self._part(self.rules._of_chunk(cut[-1])) if cut else 0
 
     def _part(self, source: str) -> int:
@@ -117,7 +99,7 @@ class PrefixCounts:
         n = at = 0
         for i, c in enumerate(self.rules.cut(text)):
             source = self.rules._of_chunk(c)
-            more = self._chunk(c)
+            more = self.chunks[c]
             if n + more > limit:
                 return at + self._inside(source, limit - n)
             n, at = n + more, at + len(source)
