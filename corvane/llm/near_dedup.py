@@ -9,10 +9,13 @@ weighted Jaccard similarity.  Only points before a time limit that fits the text
 weight are drawn, so long texts cost little more than reading them.
 
 Bands of the signature are buckets.  Every member of a bucket is compared with the
-bucket's first member, the links are closed to classes, and then all pairs of a
-bucket that still lie in different classes are compared too: no link between two
-texts of a bucket is lost, and no class is expanded into all its pairs.
-Similarity is always verified on the whole shingle multisets.
+bucket's first member, the links are closed to classes, and then with a member
+drawn for each bucket where classes still differ.  What is left is compared pair by
+pair, across classes only: in small buckets all of it, in large ones the texts that
+share one of their rarest shingles, as texts so similar must (the prefix filter of
+exact set joins).  So no link between two texts of a bucket is lost, and no group
+is expanded into all its pairs.  Similarity is always verified on the whole shingle
+multisets.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunked import slices
@@ -208,6 +212,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return materialised(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
 
+def _rarest(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """node, token: the rarest shingles of each node's text, as many as two texts as similar as ``least`` can't both miss.
+
+    The n-th occurrence of a shingle is a token of its own, so that bags are sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, bodies = batch["node"].to_pylist(), batch["text"].to_pylist()
+            for i, j in slices(bodies, 500_000):
+                for name, s in zip(names[i:j], shingles(bodies[i:j])):
+                    s = np.sort(s)
+                    start = np.r_[True, s[1:] != s[:-1]]
+                    nth = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
+                    tokens = _mix(s + nth.astype(np.uint64) * _GOLD).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(tokens), pa.int64()), pa.array(tokens, pa.int64())], ["node", "token"])
+
+    some = texts.join(nodes, "node", "left_semi").select("node", "text")
+    tokens = materialised(some.mapInArrow(run, "node long, token long"), "near-tokens")
+    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token", "left")
+    order = W.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "token")
+    ranked = ranked.withColumn("place", F.row_number().over(order)).withColumn("size", F.count("*").over(W.partitionBy("node")))
+    # a token that no other text has is in the way of others, but finds no pair
+    return ranked.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * (least - 1e-12)) + 1) & F.col("df").isNotNull()).select("node", "token")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label for all nodes of links (a, b): label is the least node of the connected component.
 
@@ -226,15 +256,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, hold: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, hold: int = 100_000, small: int = 32) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate classes of ``docs`` (doc_id, text; other columns are ignored).
 
     First result, a row for each row of ``docs``: doc_id, key, class_id (the least
-    doc_id of its class) and class_texts (distinct texts in it).  Second, a row for
+    doc_id of its class), class_texts (distinct texts in it) and class_key (the key
+    of the text that stays, null without words).  Second, a row for
     each class of two rows or more: the doc_id and key that stay, and how many rows
     have both.  Texts without words are in no class with others, equal or not.
     Up to ``hold`` rows of names are given to all tasks at once, more are joined by
-    a shuffle.
+    a shuffle.  Buckets of up to ``small`` members are small ones.
     """
     signed = materialised(_signed(docs, bands, rows), "near-signed")
     worded = signed.where("weight > 0")
@@ -258,16 +289,42 @@ def near_classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows:
     bodies = source.join(few, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
     bodies = materialised(bodies.dropDuplicates(["node"]), "near-texts")
 
-    links = _verified(stars, bodies, least)
+    links, done = _verified(stars, bodies, least), stars
     labels = components(links)
-    # what is left of each bucket: members of different classes
-    placed = shared.select("bucket", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    placed = materialised(placed.join(mixed, "bucket"), "near-mixed")
-    p, q = placed.alias("p"), placed.alias("q")
-    cross = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.label") < F.col("q.label")) & alike(F.col("p.weight"), F.col("q.weight")))
-    cross = cross.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(cross, bodies, least)
+
+    def mixed() -> DataFrame:
+        """Members of buckets with different classes: bucket, node, weight, label, n (members)."""
+        placed = shared.select("bucket", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+        return materialised(placed.join(several.select("bucket", "n"), "bucket"), "near-mixed")
+
+    def new_pairs(rows: DataFrame) -> DataFrame:
+        """Pairs of nodes x and y that were not compared yet."""
+        pairs = rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return materialised(pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
+
+    left = mixed()
+    drawn = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "weight", "label")).alias("hub"))
+    second = left.join(drawn, "bucket").where((F.col("label") != F.col("hub.label")) & alike(F.col("weight"), F.col("hub.weight")))
+    pairs = new_pairs(second.select(F.col("hub.node").alias("x"), F.col("node").alias("y")))
+    more = _verified(pairs, bodies, least)
+    if not more.isEmpty():
+        links, done = links.union(more), done.union(pairs)
+        labels = components(links)
+        left = mixed()
+    else:
+        done = done.union(pairs)
+
+    def across(rows: DataFrame, on: str) -> DataFrame:
+        p, q = rows.alias("p"), rows.alias("q")
+        meet = p.join(q, (F.col(f"p.{on}") == F.col(f"q.{on}")) & (F.col("p.label") < F.col("q.label")) & alike(F.col("p.weight"), F.col("q.weight")))
+        return meet.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))
+
+    large = left.where(F.col("n") > small)
+    members = large.select("node", "weight", "label").distinct()
+    rare = _rarest(members.select("node"), bodies, least).join(members, "node")
+    rest = across(left.where(F.col("n") <= small), "bucket").union(across(rare, "token"))
+    more = _verified(new_pairs(rest), bodies, least)
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -275,7 +332,7 @@ def near_classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows:
     classes = named.groupBy("label").agg(F.min(F.struct("one.doc_id", "key", "one.n")).alias("stays"), F.sum("n_rows").alias("n_rows"), F.count("*").alias("class_texts"))
     named = materialised(named.select("key", "label").join(classes, "label"), "near-named")
     out = signed.select("doc_id", "key", "weight").join(named.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("weight") > 0), "left")
-    out = out.select("doc_id", "key", F.when(F.col("weight") > 0, F.col("stays.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
+    out = out.select("doc_id", "key", F.when(F.col("weight") > 0, F.col("stays.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"), F.col("stays.key").alias("class_key"))
     keepers = named.where("n_rows > 1").select(F.col("stays.doc_id").alias("doc_id"), F.col("stays.key").alias("key"), F.col("stays.n").alias("n")).distinct()
     return out, keepers
 
