@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: in
     classes, keepers = near_dedup.near_classes(docs.select("doc_id", "text"))
     own = keepers.select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"), F.col("n").alias("k_n"))
     # rows of classes of two and more, and whether they are the ones that stay
-    gone = classes.join(own, F.col("class_id").eqNullSafe(F.col("k_id")), "inner").where(F.col("doc_id").isNotNull() | F.col("k_id").isNull())
+    gone = classes.join(own, F.col("class_key") == F.col("k_key"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), (F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key"))).alias("_stays"), "k_n")
     gone = materialised(gone.where(~F.col("_stays") | (F.col("k_n") > 1)).distinct(), "copies")
     few = F.broadcast(gone) if gone.count() <= hold else gone

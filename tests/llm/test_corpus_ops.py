@@ -140,6 +140,14 @@ def test_pipeline_on_odd_documents(spark, odd, odd_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, odd_dir).count() > 0
 
 
+def test_copies_without_ids(spark):
+    """Null doc_ids: each class keeps one row, whichever other classes lack ids too."""
+    a, b = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (4, b), (5, b + " y z 1 2 3 4 5 6 7")], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r["text"] for r in got) == sorted([a, b, b + " y z 1 2 3 4 5 6 7"])
+
+
 def test_pipeline_equals_plain_stages(spark, sf_dir):
     """Brute force: all texts here have letters; one document of each class stays; the mix is SQL; windows hold every id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
