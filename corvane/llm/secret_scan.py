@@ -37,7 +37,7 @@ _CONTEXT = re.compile(
 )
 _CONTEXT_HINTS = ("key", "pwd", "pass", "secret", "token", "auth", "bearer", "credential", "private", "signature", "session", "cookie", "salt", "cert")
 _PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|npm_|hf_)[A-Za-z0-9_.-]{16,}")
-_PREFIXES = ("gh", "glpat-", "sk", "rk_", "xox", "AIza", "eyJ", "npm_", "hf_")
+_PREFIXES = ("gh", "github_pat_", "glpat-", "sk", "rk_", "xox", "AIza", "eyJ", "npm_", "hf_")
 
 #: Words that are no secrets where they stand beside sensitive names.
 IDENTIFIERS = (

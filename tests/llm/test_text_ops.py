@@ -87,6 +87,12 @@ def test_novelty_tells_secrets_from_words():
     assert secret_scan.redacted("a password=Abc123x b", secret_scan.find("a password=Abc123x b", n)[1]) == "a [SECRET] b"
 
 
+@pytest.mark.parametrize("prefix", "ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- sk_live_ rk_live_ xoxa- xoxb- xoxp- xoxr- xoxs- AIza eyJ npm_ hf_".split())
+def test_each_prefix_is_found_alone(prefix):
+    t = f"export G={prefix}11ABQ7ZLY0w9XkTrV5mNcE2u"
+    assert secret_scan.find(t, secret_scan.Novelty())[1] == [(9, len(t), "novel")]
+
+
 TRICKY = ["", " ", "a  b", "<|endoftext|> x", "it's 'S We'LL", "“q” — x…", "İstanbul ΣΑΣ 中文", "\x1c x", "a\xa0b", "foo\n\n bar", "x\n", " lead", "tail ", "\n \nbar", "x²½3", "é é", "a" * 3000]
 
 
