@@ -30,11 +30,13 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN_HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
 #: Candidates beyond the base: a sensitive word, a few characters, a string; or a string that mixes classes.
+#: The string is only looked at, so that a sensitive word inside it has a string of its own.
 _CONTEXT = re.compile(
     r"(?:key|pwd|pass|secret|token|auth|bearer|credential|private|signature|session|cookie|salt|cert)[A-Za-z0-9_]*"
-    r"[\"']?\x20{0,4}(?:[:=]>?|\x20is|\x20)\x20{0,4}[\"'`]?([A-Za-z0-9+/_=~.-]{12,})",
+    r"[\"']?\x20{0,4}(?:[:=]>?|\x20is|\x20)\x20{0,4}[\"'`]?(?=[A-Za-z0-9+/_=~.-]{12})",
     re.ASCII | re.IGNORECASE,
 )
+_STRING, _DIGIT = re.compile(r"[A-Za-z0-9+/_=~.-]+"), re.compile("[0-9]")
 _CONTEXT_HINTS = ("key", "pwd", "pass", "secret", "token", "auth", "bearer", "credential", "private", "signature", "session", "cookie", "salt", "cert")
 _PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|npm_|hf_)[A-Za-z0-9_.-]{16,}")
 _PREFIXES = ("gh", "github_pat_", "glpat-", "sk", "rk_", "xox", "AIza", "eyJ", "npm_", "hf_")
@@ -79,7 +81,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of strings in sensitive contexts, whatever their content."""
     low, out = text.lower(), set()
     if any(h in low for h in _CONTEXT_HINTS):
-        out |= {m.span(1) for m in _CONTEXT.finditer(text)}
+        end = 0
+        for m in _CONTEXT.finditer(text):
+            if m.end() >= end:  # else it lies in the string before and ends there too
+                end = _STRING.match(text, m.end()).end()
+            out.add((m.end(), end))
     if any(p in text for p in _PREFIXES):
         out |= {m.span() for m in _PREFIXED.finditer(text)}
     return sorted(out)
@@ -87,12 +93,14 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, per_char: float, around: int) -> list[tuple[int, int, str]]:
     """Candidates outside the base spans that hold a digit and add ``per_char`` bytes a character or more."""
-    out, covered = [], -1
+    out, covered, digit = [], -1, -1
     for a, b in candidates(text):
-        s = text[a:b]
-        if a < covered or any(x < b and a < y for x, y, _ in base) or not any(c.isdigit() for c in s):
+        if digit < a:
+            found = _DIGIT.search(text, a)
+            digit = found.start() if found else len(text)
+        if a < covered or digit >= b or any(x < b and a < y for x, y, _ in base):
             continue
-        if novelty.bytes(text[max(0, a - around) : a], s, text[b : b + around]) >= per_char * (b - a):
+        if novelty.bytes(text[max(0, a - around) : a], text[a:b], text[b : b + around]) >= per_char * (b - a):
             out.append((a, b, "novel"))
             covered = b
     return out

@@ -93,6 +93,20 @@ def test_each_prefix_is_found_alone(prefix):
     assert secret_scan.find(t, secret_scan.Novelty())[1] == [(9, len(t), "novel")]
 
 
+@pytest.mark.parametrize("before", ["the secret aws_secret_access_key = ", "auth refresh_token_value = ", "key: client_secret_value = ", "key=auth_signature=", "key is private_session_cookie: "])
+def test_names_beside_sensitive_words_leave_the_secret_its_context(before):
+    t = f"{before}wJa1rXUtnFEMI7K7MDENG2bPxRfiCYqZ84hTs0Lv then"
+    spans = secret_scan.find(t, secret_scan.Novelty())[1]
+    assert spans and spans[-1][1] == len(t) - 5 and secret_scan.redacted(t, spans).endswith("[SECRET] then")
+
+
+def test_candidates_overlap():
+    string = "[A-Za-z0-9+/_=~.-]"
+    plain = re.compile(secret_scan._CONTEXT.pattern.replace(f"(?={string}{{12}})", f"(?=({string}{{12,}}))"), re.ASCII | re.IGNORECASE)
+    for t in ["key=" * 50, "token=key1=" * 9 + " secret is auth: x", "the secret aws_secret_access_key = 'abcdefgh12345' key"]:
+        assert secret_scan.candidates(t) == sorted({m.span(1) for i in range(len(t)) if (m := plain.match(t, i))})
+
+
 TRICKY = ["", " ", "a  b", "<|endoftext|> x", "it's 'S We'LL", "“q” — x…", "İstanbul ΣΑΣ 中文", "\x1c x", "a\xa0b", "foo\n\n bar", "x\n", " lead", "tail ", "\n \nbar", "x²½3", "é é", "a" * 3000]
 
 
