@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,22 +44,26 @@ def similar_pairs(texts: DataFrame, least: float = 0.88) -> DataFrame:
     return pairs.where(alike("y", "x")).select("earlier", "later")
 
 
-def clusters(texts: DataFrame, least: float = 0.88, rounds: int = 1000) -> DataFrame:
+def clusters(texts: DataFrame, least: float = 0.88, rounds: int | None = None) -> DataFrame:
     """pos, head for each text: the heads are the texts similar to no earlier head.
 
     Each round settles the texts without an undecided earlier neighbour; links stay
-    distributed and are written between rounds, so lineage stays short.
+    distributed and are written between rounds, so lineage stays short.  The first
+    undecided text is settled in any case, so the rounds end; more than ``rounds`` of
+    them, if given, are an error.
     """
     kept = lambda df: df.checkpoint() if texts.sparkSession.sparkContext.getCheckpointDir() else df.persist()
     links = kept(similar_pairs(texts, least))
     state = texts.select("pos", F.lit(None).cast("boolean").alias("is_head"))
-    for _ in range(rounds):
+    for k in itertools.count(1):
         seen = links.join(state.select(F.col("pos").alias("earlier"), "is_head"), "earlier").groupBy(F.col("later").alias("pos"))
         seen = seen.agg(F.max(F.coalesce("is_head", F.lit(False))).alias("near_head"), F.max(F.col("is_head").isNull()).alias("waits"))
         decided = F.when(F.col("near_head"), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
         state = kept(state.join(seen, "pos", "left").select("pos", F.coalesce("is_head", decided).alias("is_head")))
         if state.where("is_head is null").isEmpty():
             break
+        if k == rounds:
+            raise RuntimeError(f"texts are undecided after {rounds} rounds")
     heads = links.join(state.where("is_head").select(F.col("pos").alias("earlier")), "earlier").groupBy(F.col("later").alias("pos")).agg(F.min("earlier").alias("first"))
     return state.join(heads, "pos", "left").select("pos", F.when(F.col("is_head"), F.col("pos")).otherwise(F.col("first")).alias("head"))
 

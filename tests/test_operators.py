@@ -115,6 +115,14 @@ def test_fuzzy_clusters_equal_a_greedy_pass(spark):
     assert [r["head"] for r in got] == greedy(texts, 0.88)
 
 
+def test_fuzzy_clusters_run_to_the_end_or_fail(spark):
+    texts = ["a" * (20 - k) + "b" * k for k in range(0, 12, 2)]  # each is similar to the one before only
+    df = spark.createDataFrame(list(enumerate(texts)), "pos int, text string")
+    assert [r["head"] for r in dedup.clusters(df).orderBy("pos").collect()] == greedy(texts, 0.88)
+    with pytest.raises(RuntimeError):
+        dedup.clusters(df, rounds=2)
+
+
 def test_html_table():
     html = "<table><tr><th>a</th><th>b</th></tr><tr><td rowspan=2>1</td><td>2</td></tr><tr><td>3</td></tr></table>"
     assert tables.table_to_markdown(html) == "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 1 | 3 |\n"
