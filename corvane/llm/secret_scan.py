@@ -33,7 +33,7 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api_key", "apikey")
 #: The string is only looked at, so that a sensitive word inside it has a string of its own.
 _CONTEXT = re.compile(
     r"(?:key|pwd|pass|secret|token|auth|bearer|credential|private|signature|session|cookie|salt|cert)[A-Za-z0-9_]*"
-    r"[\"']?\x20{0,4}(?:[:=]>?|\x20is|\x20)\x20{0,4}[\"'`]?(?=[A-Za-z0-9+/_=~.-]{12})",
+    r"[\"']?[\x20\t]{0,4}(?:[:=]>?|[\x20\t]is|[\x20\t]|\()[\x20\t]{0,4}[\"'`]?(?=[A-Za-z0-9+/_=~.-]{12})",
     re.ASCII | re.IGNORECASE,
 )
 _STRING, _DIGIT = re.compile(r"[A-Za-z0-9+/_=~.-]+"), re.compile("[0-9]")

@@ -107,6 +107,12 @@ def test_candidates_overlap():
         assert secret_scan.candidates(t) == sorted({m.span(1) for i in range(len(t)) if (m := plain.match(t, i))})
 
 
+@pytest.mark.parametrize("before", ["key:\t", "auth\t=\t", "session\t", 'set_key("', "auth( "])
+def test_tabs_and_brackets_separate(before):
+    t = f"{before}wJa1rXUtnFEMI7K7MDENG2bPxRfiCY"
+    assert secret_scan.find(t, secret_scan.Novelty())[1] == [(len(before), len(t), "novel")]
+
+
 TRICKY = ["", " ", "a  b", "<|endoftext|> x", "it's 'S We'LL", "“q” — x…", "İstanbul ΣΑΣ 中文", "\x1c x", "a\xa0b", "foo\n\n bar", "x\n", " lead", "tail ", "\n \nbar", "x²½3", "é é", "a" * 3000]
 
 
