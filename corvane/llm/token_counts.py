@@ -12,6 +12,7 @@ Pre-tokens don't interact, so tables are kept for distinct pre-tokens and summed
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -29,7 +30,11 @@ class PrefixCounts:
         self.rules = ChunkEncoder(path)
         if self.rules.kind != "byte":
             raise ValueError("prefix counts need a byte-level BPE file")
+        if any(t.lstrip or t.rstrip or t.single_word for t in self.rules.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("prefix counts need special strings that stand for themselves alone")
         self.tokenize = self.rules.tokenizer.model.tokenize
+        self.split = self.rules.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.special = re.compile("|".join(map(re.escape, sorted(self.rules.specials, key=len, reverse=True))) or "(?!)")
         self.vocabulary = self.rules.tokenizer.get_vocab(with_added_tokens=False)
         self.longest = max(map(len, self.vocabulary))
         self.follows = Kept(self._may_follow, max_entries)
@@ -63,13 +68,29 @@ class PrefixCounts:
         tables = self.tables
         return sum([tables[p][-1] for p in _BYTE_PIECES.findall(self.rules._of_chunk(chunk))])
 
+    def pieces(self, text: str) -> list[tuple[int, int, bool]]:
+        """(start, end, special) of the special strings and the library's own pre-tokens of any text."""
+        out, at = [], 0
+        for m in [*self.special.finditer(text), None]:
+            end = m.start() if m else len(text)
+            if end > at:
+                out += [(at + a, at + b, False) for _, (a, b) in self.split(text[at:end])]
+            if m:
+                out.append((end, m.end(), True))
+                at = m.end()
+        return out
+
+    def _of_piece(self, text: str, piece: tuple[int, int, bool]) -> int:
+        start, end, special = piece
+        return 1 if special else self.prefixes(text[start:end])[-1]
+
     # -- questions about texts -------------------------------------------
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null counts as empty."""
         if not text:
             return 0
         if not self.rules.sure(text):
-            return len(self.rules.tokenizer.encode(text, add_special_tokens=False).ids)
+            return sum(self._of_piece(text, p) for p in self.pieces(text))
         return sum(map(self.chunks.__getitem__, self.rules.cut(text)))
 
     def at(self, text: str, chars: int) -> int:
@@ -90,12 +111,7 @@ class PrefixCounts:
         if not text:
             return 0
         if not self.rules.sure(text):
-            ids = self.rules.tokenizer.encode(text, add_special_tokens=False)
-            if len(ids.ids) <= limit:
-                return len(text)
-            # here prefixes are encoded anew, from where the limit is passed backwards
-            end = min(len(text), ids.offsets[limit][1] + 8)
-            return next(k for k in range(end, -1, -1) if self.count(text[:k]) <= limit)
+            return self._within_pieces(text, limit)
         n = at = 0
         for i, c in enumerate(self.rules.cut(text)):
             source = self.rules._of_chunk(c)
@@ -105,6 +121,30 @@ class PrefixCounts:
             n, at = n + more, at + len(source)
         return len(text)
 
+    def _within_pieces(self, text: str, limit: int) -> int:
+        """The same for texts that are not sure(), by the library's pre-tokens."""
+        pieces, n, more = self.pieces(text), 0, 0
+        for i, (start, end, special) in enumerate(pieces):
+            before, more = more, self._of_piece(text, pieces[i])
+            if n + more > limit:
+                break
+            n += more
+        else:
+            return len(text)
+        # a cut can join this piece and its neighbours, those further away it can't
+        left, n = (pieces[i - 1][0], n - before) if i else (0, 0)
+        for k in range(pieces[min(i + 1, len(pieces) - 1)][1], start, -1):
+            head = text[left:k]
+            *whole, last = self.pieces(head)
+            total = n + sum(self._of_piece(head, p) for p in whole)
+            if last[0] + left == start and last[1] + left <= end and not (special or last[2]):
+                total += self.prefixes(text[start:end])[len(text[start:k].encode())]
+            else:
+                total += self._of_piece(head, last)
+            if total <= limit:
+                return k
+        return start
+
     def _inside(self, source: str, limit: int) -> int:
         """The same within one chunk: table lookups, the last pre-token's cut aside."""
         for k in range(len(source) - 1, 0, -1):

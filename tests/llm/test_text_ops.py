@@ -134,6 +134,15 @@ def test_op7_prefixes():
     assert len(ids_of(BYTE, rows()[5][1][:w])) <= 20 < len(ids_of(BYTE, rows()[5][1][: w + 1]))
 
 
+def test_op7_longest_prefix_of_unsure_texts():
+    c = token_counts.PrefixCounts(BYTE, max_entries=1000)
+    texts = TRICKY[:-1] + ["x <|endoftext|>  y <|endo", "def f():\n        return  1\n\n\n    # é", "中文字符" * 9, "Ünïcödé Ελλάδα Россия  " + "нескончаемый" * 9, "a  b misinformations", "a  rawdownloadcloneembedreportprints", "a \n \n  b 😀😀 \u200d x"]
+    for t in texts:
+        at = [len(c.rules.whole(t[:k])) // c.rules.dtype.itemsize for k in range(len(t) + 1)]
+        assert [c.within(t, n) for n in range(at[-1] + 2)] == [max(k for k, x in enumerate(at) if x <= n) for n in range(at[-1] + 2)]
+        assert [c.at(t, k) for k in range(len(t) + 1)] == at
+
+
 def test_op7_query(spark, odd_dir):
     want = Counter((r[0], len((r[1] or "").encode()), len(ids_of(BYTE, r[1]))) for r in rows())
     assert Counter(tuple(r)[:3] for r in token_counts.op7_token_counts(spark, odd_dir).collect()) == want
