@@ -18,7 +18,7 @@ from corvane.llm.common import free_name, materialised, words
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: null or without a letter, or no language with a quarter of the votes."""
+    """Drops null and letterless documents; the limit of a quarter of the votes bites only with more than four learned languages."""
     net = language_id.learn(docs)
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     got = language_id.predicted(docs, net, lang, score)
