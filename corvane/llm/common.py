@@ -44,6 +44,31 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Intermediate tables that go together once what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table to the shared folder and reads it again, as materialised() does."""
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the tables; nothing that is still to run may read them."""
+        for path in self.paths:
+            drop_scratch(self.spark, path)
+        self.paths = []
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps Arrow batches of texts small, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -10,12 +10,13 @@ weight are drawn, so long texts cost little more than reading them.
 
 Bands of the signature are buckets.  Every member of a bucket is compared with the
 bucket's first member, the links are closed to classes, and then with a member
-drawn for each bucket where classes still differ.  What is left is compared pair by
-pair, across classes only: in small buckets all of it, in large ones the texts that
-share one of their rarest shingles, as texts so similar must (the prefix filter of
-exact set joins).  So no link between two texts of a bucket is lost, and no group
-is expanded into all its pairs.  Similarity is always verified on the whole shingle
-multisets.
+drawn for each bucket where classes still differ.  What is left are members of one
+bucket in different classes.  They meet in blocks of bounded size, as vectors of
+hashed shingle counts: the sum of the smaller counts is never less than the overlap
+of two bags, so pairs whose sum is too small can't be links and never leave the
+block.  The few others are verified.  So no link between two texts of a bucket is
+lost, and no group is expanded into its pairs.  Similarity is always verified on the
+whole shingle multisets, and a text travels once for up to ``HUB`` of its partners.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunked import slices
-from .common import materialised, small_batches, table
+from .common import Scratch, small_batches, table
 
 BANDS, ROWS = 30, 6
+#: Partners that one copy of a text serves, members of a block, places of a count vector, bytes that are hashed at once.
+HUB, BLOCK, PLACES, PIECE = 256, 128, 512, 1 << 21
 _M = BANDS * ROWS
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = (1 << 64) - 1
@@ -59,13 +61,39 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+    """Powers 0 to n - 1 of the base and of its inverse; tables of more than PIECE are not kept."""
+    got = _powers
+    if len(got.get("up", ())) < n:
+        got = {}
         for name, base in (("up", _BASE), ("down", _BASE_BACK)):
-            x = np.full(size, base, np.uint64)
+            x = np.full(max(n, 1 << 16), base, np.uint64)
             x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+            got[name] = np.multiply.accumulate(x)
+        if n <= 2 * PIECE:
+            _powers.update(got)
+    return got["up"], got["down"]
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and their hashes.  Bytes are hashed in pieces that end at white space, so memory follows the longest word."""
+    buffer = np.frombuffer(data, np.uint8)
+    starts, words, at = [], [], 0
+    while at < len(buffer):
+        end = min(len(buffer), at + PIECE)
+        while end < len(buffer) and not _WHITE[buffer[end - 1]]:
+            more = np.flatnonzero(_WHITE[buffer[end : end + PIECE]])
+            end = min(len(buffer), end + (int(more[0]) + 1 if len(more) else PIECE))
+        part = buffer[at:end]
+        inside = ~_WHITE[part]
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        first, last = edge[::2], edge[1::2]
+        up, down = _power(len(part) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[part] * up[: len(part)])])
+        words.append(_mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * _GOLD))
+        starts.append(first + at)
+        at = end
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none.astype(np.uint64), *words])
 
 
 def shingles(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
@@ -75,14 +103,8 @@ def shingles(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     ``width`` is one shingle; one without words has none.
     """
     parts = [(t or "").encode() for t in texts]
-    buffer = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     ends_of = np.cumsum([len(p) + 1 for p in parts])
-    inside = ~_WHITE[buffer]
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(buffer) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[buffer] * up[: len(buffer)])])
-    word = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+    starts, word = _word_hashes(b" ".join(parts) + b" ")
     cuts = np.searchsorted(starts, ends_of)
     out, first = [], 0
     odd = _mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
@@ -192,145 +214,202 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return some.mapInArrow(run, "doc_id long, key string, weight long, buckets array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts overlap by ``least`` or more."""
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+def count_vector(hashes: np.ndarray) -> tuple[bytes, int]:
+    """How many shingles have each hashed place, up to 255 each, and how many are beyond that."""
+    n = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % PLACES, minlength=PLACES)
+    kept = np.minimum(n, 255)
+    return kept.astype(np.uint8).tobytes(), int((n - kept).sum())
+
+
+def most_overlap(one: np.ndarray, one_beyond: int, others: np.ndarray, others_beyond: np.ndarray) -> np.ndarray:
+    """No less than the shingles that one bag shares with each of others, from their count_vector()s."""
+    return np.minimum(one[None], others).sum(axis=1, dtype=np.int64) + np.minimum(one_beyond, others_beyond)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts overlap by ``least`` or more.
+
+    The partners of a node are dealt to groups of about HUB; each group gets the
+    node's text once, before its partners', and holds one bag and a batch.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("groups"))
+    dealt = scratch.kept(pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).alias("g"), "b"), "near-dealt")
+    partners = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "g", F.lit(1).alias("partner"), "b", "text")
+    hubs = dealt.select("a", "g").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "g", F.lit(0).alias("partner"), F.col("a").alias("b"), "text")
+    rows = hubs.union(partners).repartition("a", "g").sortWithinPartitions("a", "g", "partner", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            x, y = batch["x"].to_pylist(), batch["y"].to_pylist()
-            distinct = dict(zip(a, x)) | dict(zip(b, y))
-            names, bodies, bags = list(distinct), list(distinct.values()), {}
+            a, b, partner, bodies = (batch[k].to_pylist() for k in ("a", "b", "partner", "text"))
+            good = []
             for i, j in slices(bodies, 1_500_000):
-                bags |= {n: bag(s) for n, s in zip(names[i:j], shingles(bodies[i:j]))}
-            good = [k for k in range(len(a)) if overlap(bags[a[k]], bags[b[k]]) >= least - 1e-12]
+                for k, s in zip(range(i, j), shingles(bodies[i:j])):
+                    if not partner[k]:
+                        hub = bag(s)
+                    elif overlap(hub, bag(s)) >= least - 1e-12:
+                        good.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], ["a", "b"])
 
     small_batches(pairs.sparkSession)
-    return materialised(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
+    return scratch.kept(rows.select("a", "partner", "b", "text").mapInArrow(run, "a long, b long"), "near-links")
+
+
+_MEMBER = "array<struct<node:bigint,label:bigint,weight:bigint,counts:binary,beyond:bigint>>"
 
 
-def _rarest(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """node, token: the rarest shingles of each node's text, as many as two texts as similar as ``least`` can't both miss.
+def _possible(left: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ``left`` (bucket, node, weight, label, n) that share a bucket, are in different classes and may overlap by ``least``.
 
-    The n-th occurrence of a shingle is a token of its own, so that bags are sets.
+    The members of a bucket lie in blocks of about BLOCK: classes of more than half
+    of that in blocks of their own, the others together, whole.  Two blocks of one
+    class don't meet.
     """
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, got = batch["text"].to_pylist(), []
+            for i, j in slices(bodies, 1_500_000):
+                got += [count_vector(s) for s in shingles(bodies[i:j])]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([c for c, _ in got], pa.binary()), pa.array([r for _, r in got], pa.int64())], ["node", "counts", "beyond"])
+
+    small_batches(left.sparkSession)
+    some = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text")
+    some = scratch.kept(some.mapInArrow(vectors, "node long, counts binary, beyond long"), "near-counts")
+    sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("own"))
+    own = F.col("own") > BLOCK // 2
+    place = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / BLOCK)))
+    rows = left.join(sizes, ["bucket", "label"]).withColumns({"class": F.when(own, F.col("label")).otherwise(F.lit(-1)), "place": place}).join(some, "node")
+    blocks = rows.groupBy("bucket", "class", "place").agg(F.collect_list(F.struct("node", "label", "weight", "counts", "beyond")).alias("members"))
+    blocks = scratch.kept(blocks, "near-blocks")
+    p, q = blocks.alias("p"), blocks.alias("q")
+    ordered = F.struct("p.class", "p.place") <= F.struct("q.class", "q.place")
+    other = (F.col("p.class") != F.col("q.class")) | (F.col("p.class") < 0)
+    meet = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & ordered & other)
+    meet = meet.select(F.col("p.members").alias("x"), F.col("q.members").alias("y"), ((F.col("p.class") == F.col("q.class")) & (F.col("p.place") == F.col("q.place"))).alias("same"))
+
+    def unpacked(members: pa.StructArray) -> tuple[np.ndarray, ...]:
+        number = [members.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("node", "label", "weight", "beyond")]
+        return (*number, np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, PLACES))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, bodies = batch["node"].to_pylist(), batch["text"].to_pylist()
-            for i, j in slices(bodies, 500_000):
-                for name, s in zip(names[i:j], shingles(bodies[i:j])):
-                    s = np.sort(s)
-                    start = np.r_[True, s[1:] != s[:-1]]
-                    nth = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
-                    tokens = _mix(s + nth.astype(np.uint64) * _GOLD).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(tokens), pa.int64()), pa.array(tokens, pa.int64())], ["node", "token"])
-
-    some = texts.join(nodes, "node", "left_semi").select("node", "text")
-    tokens = materialised(some.mapInArrow(run, "node long, token long"), "near-tokens")
-    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token", "left")
-    order = W.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "token")
-    ranked = ranked.withColumn("place", F.row_number().over(order)).withColumn("size", F.count("*").over(W.partitionBy("node")))
-    # a token that no other text has is in the way of others, but finds no pair
-    return ranked.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * (least - 1e-12)) + 1) & F.col("df").isNotNull()).select("node", "token")
-
-
-def components(links: DataFrame) -> DataFrame:
+            for k in range(batch.num_rows):
+                node, label, weight, beyond, counts = unpacked(batch["x"][k].values)
+                node2, label2, weight2, beyond2, counts2 = unpacked(batch["y"][k].values)
+                same, found = batch["same"][k].as_py(), set()
+                for i in range(len(node)):
+                    near = (label2 != label[i]) & (np.minimum(weight2, weight[i]) >= least * np.maximum(weight2, weight[i]) - 1e-9)
+                    if same:
+                        near[: i + 1] = False
+                    at = np.flatnonzero(near)
+                    if len(at):
+                        most = most_overlap(counts[i], beyond[i], counts2[at], beyond2[at])
+                        at = at[most >= least * (weight[i] + weight2[at] - most) - 1e-9]
+                        found |= {(min(node[i], m), max(node[i], m)) for m in node2[at]}
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    small_batches(left.sparkSession, 16)
+    pairs = scratch.kept(meet.mapInArrow(run, "a long, b long").distinct(), "near-possible")
+    small_batches(left.sparkSession)
+    return pairs
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label for all nodes of links (a, b): label is the least node of the connected component.
 
     Each round takes the least label of the neighbours and then the label of that
     label, until nothing changes; links and labels stay distributed.
     """
-    both = materialised(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
-    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "near-labels")
+    both = scratch.kept(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
+    labels = scratch.kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "near-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         upper = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = materialised(step.join(upper, "label").select("node", "old", F.least("label", "up").alias("label")), "near-labels")
+        step = scratch.kept(step.join(upper, "label").select("node", "old", F.least("label", "up").alias("label")), "near-labels")
         labels = step.select("node", "label")
         if step.where("label <> old").isEmpty():
             return labels
 
 
-def near_classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, hold: int = 100_000, small: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate classes of ``docs`` (doc_id, text; other columns are ignored).
+def joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (node, label) after more links (a, b): only the classes that they join are walked, not their members."""
+    name = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    ends = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    between = scratch.kept(ends.where("a <> b").distinct(), "near-between")
+    if between.isEmpty():
+        return labels
+    moved = components(between, scratch)
+    told = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return scratch.kept(told.union(moved.join(labels.select("node"), "node", "left_anti").select("node", "label")), "near-labels")
+
+
+def near_classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, hold: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicate classes of ``docs`` (doc_id, text; other columns are ignored, whatever their names).
 
     First result, a row for each row of ``docs``: doc_id, key, class_id (the least
     doc_id of its class), class_texts (distinct texts in it) and class_key (the key
     of the text that stays, null without words).  Second, a row for
     each class of two rows or more: the doc_id and key that stay, and how many rows
-    have both.  Texts without words are in no class with others, equal or not.
-    Up to ``hold`` rows of names are given to all tasks at once, more are joined by
-    a shuffle.  Buckets of up to ``small`` members are small ones.
+    have both.  Null, empty and blank texts are in no class with others, equal or
+    not; repeated rows are one class; a null doc_id is the least; of texts whose
+    least doc_id is the same, the one with the least md5 stays; an empty table gives
+    no rows.  A very long text is hashed piece by piece.
+
+    A pair of similarity s shares a bucket with a probability of 1 - (1 - s**rows)**bands,
+    0.9999 for 0.8; pairs that share one are found for sure.  Up to ``hold`` rows of
+    names are given to all tasks at once, more are joined by a shuffle; the rows are
+    the same.
     """
-    signed = materialised(_signed(docs, bands, rows), "near-signed")
+    spark = docs.sparkSession
+    scratch, result = Scratch(spark), Scratch(spark)
+    signed = result.kept(_signed(docs, bands, rows), "near-signed")
     worded = signed.where("weight > 0")
     per = worded.groupBy("key", "doc_id").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
     per = per.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("one"), F.sum("n").alias("n_rows"), F.first("weight").alias("weight"))
     # buckets are joined by one row of each text
     texts = worded.dropDuplicates(["key"]).select("key", "buckets").join(per, "key")
-    nodes = materialised(texts.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    nodes = scratch.kept(texts.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     members = nodes.select("node", "weight", F.explode("buckets").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    shared = materialised(members.join(hubs, "bucket"), "near-members")
+    shared = scratch.kept(members.join(hubs, "bucket"), "near-members")
     alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)  # noqa: E731  no overlap of weights further apart reaches it
     stars = shared.where((F.col("node") != F.col("hub.node")) & alike(F.col("weight"), F.col("hub.weight")))
-    stars = materialised(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
+    stars = scratch.kept(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "key", F.col("one.doc_id").alias("doc_id")), "node")
-    wanted = materialised(wanted, "near-wanted")
+    wanted = scratch.kept(wanted, "near-wanted")
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.md5("text").alias("_key"))
     few = F.broadcast(wanted) if wanted.count() <= hold else wanted
     bodies = source.join(few, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    bodies = materialised(bodies.dropDuplicates(["node"]), "near-texts")
+    bodies = scratch.kept(bodies.dropDuplicates(["node"]), "near-texts")
 
-    links, done = _verified(stars, bodies, least), stars
-    labels = components(links)
+    labels = components(_verified(stars, bodies, least, scratch), scratch)
 
     def mixed() -> DataFrame:
         """Members of buckets with different classes: bucket, node, weight, label, n (members)."""
         placed = shared.select("bucket", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-        return materialised(placed.join(several.select("bucket", "n"), "bucket"), "near-mixed")
-
-    def new_pairs(rows: DataFrame) -> DataFrame:
-        """Pairs of nodes x and y that were not compared yet."""
-        pairs = rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        return materialised(pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
+        return scratch.kept(placed.join(several.select("bucket", "n"), "bucket"), "near-mixed")
 
     left = mixed()
     drawn = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "weight", "label")).alias("hub"))
     second = left.join(drawn, "bucket").where((F.col("label") != F.col("hub.label")) & alike(F.col("weight"), F.col("hub.weight")))
-    pairs = new_pairs(second.select(F.col("hub.node").alias("x"), F.col("node").alias("y")))
-    more = _verified(pairs, bodies, least)
-    if not more.isEmpty():
-        links, done = links.union(more), done.union(pairs)
-        labels = components(links)
-        left = mixed()
-    else:
-        done = done.union(pairs)
-
-    def across(rows: DataFrame, on: str) -> DataFrame:
-        p, q = rows.alias("p"), rows.alias("q")
-        meet = p.join(q, (F.col(f"p.{on}") == F.col(f"q.{on}")) & (F.col("p.label") < F.col("q.label")) & alike(F.col("p.weight"), F.col("q.weight")))
-        return meet.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))
-
-    large = left.where(F.col("n") > small)
-    members = large.select("node", "weight", "label").distinct()
-    rare = _rarest(members.select("node"), bodies, least).join(members, "node")
-    rest = across(left.where(F.col("n") <= small), "bucket").union(across(rare, "token"))
-    more = _verified(new_pairs(rest), bodies, least)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    second = second.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+    second = scratch.kept(second.join(stars, ["a", "b"], "left_anti"), "near-second")
+    labels = joined(labels, _verified(second, bodies, least, scratch), scratch)
+
+    pairs = _possible(mixed(), bodies, least, scratch).join(stars.union(second), ["a", "b"], "left_anti")
+    labels = joined(labels, _verified(scratch.kept(pairs, "near-pairs"), bodies, least, scratch), scratch)
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "label", "one", "n_rows")
+    named = scratch.kept(named, "near-labelled")
     classes = named.groupBy("label").agg(F.min(F.struct("one.doc_id", "key", "one.n")).alias("stays"), F.sum("n_rows").alias("n_rows"), F.count("*").alias("class_texts"))
-    named = materialised(named.select("key", "label").join(classes, "label"), "near-named")
+    named = result.kept(named.select("key", "label").join(classes, "label"), "near-named")
+    scratch.drop()
     out = signed.select("doc_id", "key", "weight").join(named.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("weight") > 0), "left")
     out = out.select("doc_id", "key", F.when(F.col("weight") > 0, F.col("stays.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"), F.col("stays.key").alias("class_key"))
     keepers = named.where("n_rows > 1").select(F.col("stays.doc_id").alias("doc_id"), F.col("stays.key").alias("key"), F.col("stays.n").alias("n")).distinct()

@@ -33,10 +33,45 @@ def test_unequal_odds(spark):
     from pyspark.sql import functions as F
 
     how = mixing.plan(docs, F.col("size"), F.col("favour"), share=0.3)
-    got = {r["favour"]: r["n"] for r in mixing.with_copies(docs, how, F.col("size"), F.col("favour")).groupBy("favour").agg(F.sum("_copies").alias("n")).collect()}
+    got = {r["favour"]: r["n"] for r in mixing.with_copies(docs, how, F.col("size"), F.col("favour")).groupBy("doc.favour").agg(F.sum("copies").alias("n")).collect()}
     assert got[1] + got[9] == 1200 and got[9] > 3 * got[1]
 
 
+def test_op4_certain_documents_and_odds(spark):
+    """Documents whose odds reach 1 are taken; the others in proportion to their favour, over many seeds."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(300).selectExpr("id doc_id", "'s' source", "1L size", "case when id < 20 then 1000L when id % 2 = 0 then 1L else 3L end favour").cache()
+    taken = Counter()
+    for seed in range(12):
+        how = mixing.plan(docs, F.col("size"), F.col("favour"), share=0.4, seed=str(seed))
+        got = mixing.with_copies(docs, how, F.col("size"), F.col("favour"), seed=str(seed)).where("copies > 0").select("doc.*").collect()
+        assert len(got) == 120 and sum(r["favour"] == 1000 for r in got) == 20
+        taken.update(r["favour"] for r in got)
+    # 100 of 280 others: 140 with 3 c and 140 with c, so 75 and 25 each time
+    assert abs(taken[3] / 12 - 75) < 5 and abs(taken[1] / 12 - 25) < 5
+
+
+def test_op4_repeated_rows_meet_their_target(spark, tmp_path):
+    data = [(None, "w " * 20, "a") for _ in range(400)] + [(i, "x " * 30, "b") for i in range(50)] + [(7, "x " * 300, "c") for i in range(20)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op4_mixing(spark, f"file://{tmp_path}").collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(mixing.ORACLE_SQL).fetchall()))
+    for size, largest in ((8000, 20), (1500, 30), (6000, 300)):
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= largest
+
+
+def test_op4_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "s", 5, "a", 1.0, 2, 3, "x") for i in range(9)], "doc_id long, source string, words int, need string, target double, rest int, copies int, `p.q` string")
+    got = mixing.with_copies(docs, mixing.plan(docs, F.col("words")), F.col("words")).select("doc.*", F.col("copies").alias("taken"))
+    assert got.columns == [*docs.columns, "taken"] and sum(r["taken"] for r in got.collect()) in (13, 14)
+
+
 def brute_classes(docs):
     bags = {}
     for i, t in docs:
@@ -127,6 +162,42 @@ def test_op5_recall_and_odd_vectors(spark, tmp_path, empty_dir):
     assert ann_graph.op5_ann_graph(spark, empty_dir).count() == 0
 
 
+def brute_nearest(rows, k=10):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], "f8")
+    out = {}
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        out[int(ids[q])] = [int(ids[i]) for i in np.lexsort((ids, d)) if i != q][:k]
+    return out
+
+
+def found_nearest(spark, rows, tmp_path, name, **more):
+    spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/{name}")
+    vectors = ann_graph.usable(spark.read.parquet(f"file://{tmp_path}/{name}"))
+    index, centres, n = ann_graph.build(vectors, 10, **more)
+    got = ann_graph.search(index, centres, vectors.where("vec_id % 100 = 0"), 10, n).orderBy("query_id", "rank").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    return by
+
+
+def test_op5_ties_and_large_components(spark, tmp_path):
+    hot = [(i, np.eye(120)[i]) for i in range(120)]
+    assert found_nearest(spark, hot, tmp_path, "hot") == brute_nearest(hot)
+    rng = np.random.default_rng(2)
+    wide = [(i, v * (1e20 if i == 7 else 1)) for i, v in enumerate(rng.normal(size=(50, 8)))]
+    assert found_nearest(spark, wide, tmp_path, "wide") == brute_nearest(wide)
+
+
+def test_op5_recall_over_many_shards(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(40, 32)) * 2
+    rows = [(i, v) for i, v in enumerate(centre[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 32)))]
+    want, got = brute_nearest(rows), found_nearest(spark, rows, tmp_path, "many", shard_rows=200)
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 9 * len(want)
+
+
 def test_pipeline_on_odd_documents(spark, odd, odd_dir):
     docs, sizes = odd, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -165,3 +236,35 @@ def test_pipeline_equals_plain_stages(spark, sf_dir):
     whole = corpus_pipeline.run(spark, sf_dir)
     per = {r["doc_id"]: r["n"] for r in whole.groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).selectExpr("doc_id", "`sum(length)` / doc_tokens n").collect()}
     assert per == {k: float(v) for k, v in want.items()}
+
+
+def test_op8_bound_and_blocks(spark, monkeypatch):
+    """Count vectors never tell less than the overlap; with tiny blocks and hub groups the classes are the same."""
+    rng = np.random.default_rng(4)
+    for n in (3, 200, 5000, 300_000):
+        a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(2))
+        b[: n // 2] = a[: n // 2]
+        (x, xr), (y, yr) = near_dedup.count_vector(a), near_dedup.count_vector(b)
+        most = near_dedup.most_overlap(np.frombuffer(x, np.uint8), xr, np.frombuffer(y, np.uint8)[None], np.array([yr]))[0]
+        assert n // 2 <= most <= n
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "HUB", 3)
+    docs = spark.createDataFrame(planted(), "doc_id long, text string")
+    out, _ = near_dedup.near_classes(docs, bands=30, rows=1)
+    assert {r["doc_id"]: r["class_id"] for r in out.collect()} == brute_classes(planted())
+
+
+def test_op8_odd_rows(spark, odd):
+    """Very long texts in pieces, repeated rows, null ids, clashing and dotted column names."""
+    text = "w " * 40 + " ".join(f"v{i}" for i in range(5000)) + " " + "z" * 9000
+    whole = near_dedup.shingles([None, text, "a"])
+    old, near_dedup.PIECE = near_dedup.PIECE, 1000
+    assert all((x == y).all() for x, y in zip(whole, near_dedup.shingles([None, text, "a"])))
+    near_dedup.PIECE = old
+    rows = [(None, text, 1, "x"), (None, text, 1, "x"), (5, f"{text} end", 2, None), (6, "", 0, "y"), (6, "", 0, "y"), (7, None, 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, `a.b` string")
+    got = sorted((repr(r["doc_id"]), repr(r["class_id"]), r["class_texts"]) for r in near_dedup.near_classes(docs)[0].collect())
+    assert got == [("5", "None", 2), ("6", "6", 1), ("6", "6", 1), ("7", "7", 1), ("None", "None", 2), ("None", "None", 2)]
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(repr(r["doc_id"]) for r in kept) == ["6", "6", "7", "None"]
+    assert kept[0].__fields__ == docs.columns
