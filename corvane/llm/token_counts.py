@@ -3,11 +3,16 @@
 In byte-pair encoding, the encoding of a prefix without its last token is the
 encoding of the shorter prefix.  So one token is stored for each position, the
 last one of the prefix that ends there: the only vocabulary entry that ends
-there and may follow the last token of the prefix before it.  The count is then
+there and may follow the last token of the prefix before it.  The entries that end
+at each byte come from one walk of an Aho-Corasick automaton over the vocabulary, so
+a table takes time in proportion to its pre-token.  The count is then
 one more than the count at the position before that token, and every question
 about truncation or budgets is a lookup.
 
-Pre-tokens don't interact, so tables are kept for distinct pre-tokens and summed.
+Pre-tokens don't interact, so tables are kept for distinct pre-tokens and summed.  A
+cut changes the last pre-token alone: a run of one class of characters is then the
+run's own prefix, white space at the end is one pre-token, an ending such as
+"'ll" falls apart, and so does a special string.
 """
 
 from __future__ import annotations
@@ -15,13 +20,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunked import _BYTE_PIECES, ChunkEncoder, Kept, marked
+from .chunked import _BYTE_PIECES, _ENDS, ChunkEncoder, Kept, marked
 from .common import small_batches, table
 
+#: Unicode white space, as the library's patterns take it.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN, _RUN_BEFORE, _ENDING = re.compile(f"[{_SPACES}]+"), re.compile(f"[^{_SPACES}]"), re.compile(f"(?:{_ENDS})$")
+#: Pre-tokens of more characters than this are not kept in the caches.
+_LONG = 256
+
+Piece = tuple[int, int, bool]
+
 
 class PrefixCounts:
     """Exact token counts at all prefixes, for a byte-level ``tokenizers`` file."""
@@ -35,40 +50,50 @@ class PrefixCounts:
         self.tokenize = self.rules.tokenizer.model.tokenize
         self.split = self.rules.tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("|".join(map(re.escape, sorted(self.rules.specials, key=len, reverse=True))) or "(?!)")
-        self.vocabulary = self.rules.tokenizer.get_vocab(with_added_tokens=False)
-        self.longest = max(map(len, self.vocabulary))
+        self.known = ahocorasick.Automaton()
+        for token in self.rules.tokenizer.get_vocab(with_added_tokens=False):
+            self.known.add_word(token, token)
+        self.known.make_automaton()
         self.follows = Kept(self._may_follow, max_entries)
         self.tables = Kept(self._table, max_entries)
         self.chunks = Kept(self._chunk, max_entries)
+        self.long: tuple[str, np.ndarray] = ("", np.zeros(1, np.int32))
 
     # -- the tables ------------------------------------------------------
     def _may_follow(self, pair: tuple[str, str]) -> bool:
         before, token = pair
         return [t.value for t in self.tokenize(before + token)] == ([before, token] if before else [token])
 
-    def prefixes(self, piece: str) -> bytes | tuple[int, ...]:
+    def prefixes(self, piece: str) -> bytes | np.ndarray:
         """Counts at all byte prefixes (0 to all) of one pre-token."""
-        return self.tables[piece]
-
-    def _table(self, piece: str) -> bytes | tuple[int, ...]:
-        marks = marked(piece)
-        last, counts, longest, known, follows = [""], [0], self.longest, self.vocabulary, self.follows
-        for end in range(1, len(marks) + 1):
-            for start in range(max(0, end - longest), end):
-                token = marks[start:end]
-                if token in known and follows[last[start], token]:
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
-            else:  # pragma: no cover - every byte is in the vocabulary
-                raise ValueError(f"no token ends at byte {end} of {piece!r}")
-        return bytes(counts) if len(counts) < 256 else tuple(counts)
+        if len(piece) <= _LONG:
+            return self.tables[piece]
+        if self.long[0] != piece:
+            self.long = (piece, self._table(piece))
+        return self.long[1]
+
+    def _table(self, piece: str) -> bytes | np.ndarray:
+        marks, follows = marked(piece), self.follows
+        last, counts, done = [""], [0], 0
+        for end, token in self.known.iter(marks):
+            if end < done:  # the prefix that ends here is settled
+                continue
+            start = end + 1 - len(token)
+            if start <= done and follows[last[start], token]:
+                last.append(token)
+                counts.append(counts[start] + 1)
+                done += 1
+        if done < len(marks):  # pragma: no cover - every byte is in the vocabulary
+            raise ValueError(f"no token ends at byte {done + 1} of {piece[:80]!r}")
+        return bytes(counts) if len(counts) < 256 else np.array(counts, np.int32)
 
     def _chunk(self, chunk: str) -> int:
-        tables = self.tables
-        return sum([tables[p][-1] for p in _BYTE_PIECES.findall(self.rules._of_chunk(chunk))])
+        return sum([int(self.prefixes(p)[-1]) for p in _BYTE_PIECES.findall(self.rules._of_chunk(chunk))])
 
-    def pieces(self, text: str) -> list[tuple[int, int, bool]]:
+    def _counted(self, chunk: str) -> int:
+        return self.chunks[chunk] if len(chunk) <= _LONG else self._chunk(chunk)
+
+    def pieces(self, text: str) -> list[Piece]:
         """(start, end, special) of the special strings and the library's own pre-tokens of any text."""
         out, at = [], 0
         for m in [*self.special.finditer(text), None]:
@@ -80,9 +105,9 @@ class PrefixCounts:
                 at = m.end()
         return out
 
-    def _of_piece(self, text: str, piece: tuple[int, int, bool]) -> int:
+    def _of_piece(self, text: str, piece: Piece) -> int:
         start, end, special = piece
-        return 1 if special else self.prefixes(text[start:end])[-1]
+        return 1 if special else int(self.prefixes(text[start:end])[-1])
 
     # -- questions about texts -------------------------------------------
     def count(self, text: str | None) -> int:
@@ -91,65 +116,99 @@ class PrefixCounts:
             return 0
         if not self.rules.sure(text):
             return sum(self._of_piece(text, p) for p in self.pieces(text))
-        return sum(map(self.chunks.__getitem__, self.rules.cut(text)))
+        return sum(map(self._counted, self.rules.cut(text)))
 
-    def at(self, text: str, chars: int) -> int:
+    def at(self, text: str | None, chars: int) -> int:
         """Tokens of the first ``chars`` characters, exactly as if they were a text of their own."""
-        head = text[:chars]
-        if not self.rules.sure(text) or not self.rules.sure(head):
-            return self.count(head)
-        cut, n = self.rules.cut(head), 0
-        for c in cut[:-1]:
-            n += self.chunks[c]
-        return n + self._part(self.rules._of_chunk(cut[-1])) if cut else 0
-
-    def _part(self, source: str) -> int:
-        return sum(self.prefixes(p)[-1] for p in _BYTE_PIECES.findall(source))
+        if not text or chars <= 0:
+            return 0
+        if chars >= len(text):
+            return self.count(text)
+        if not self.rules.sure(text):
+            pieces = self.pieces(text)
+            i = next(k for k, p in enumerate(pieces) if p[1] >= chars)
+            return self._cut(text, pieces, i, sum(self._of_piece(text, p) for p in pieces[:i]), chars)
+        start, end = max(0, text.rfind(" ", 0, chars)), text.find(" ", chars)
+        n = sum(map(self._counted, self.rules.cut(text[:start]))) if start else 0
+        source = text[start : end if end >= 0 else len(text)]
+        pieces = [(*m.span(), False) for m in _BYTE_PIECES.finditer(source)]
+        i = next(k for k, p in enumerate(pieces) if p[1] >= chars - start)
+        return n + self._cut(source, pieces, i, sum(self._of_piece(source, p) for p in pieces[:i]), chars - start)
+
+    def _cut(self, text: str, pieces: list[Piece], i: int, before: int, k: int) -> int:
+        """Tokens of ``text[:k]``, which ends in piece ``i``; the pieces before have ``before``."""
+        start, end, special = pieces[i]
+        if k == end and special:
+            return before + 1
+        if special or not special and k < end and _ENDING.match(text[start:end]):
+            # what is left of it may join the piece before
+            j = max(0, i - 1)
+            before -= self._of_piece(text, pieces[j]) if j < i else 0
+            head = text[pieces[j][0] : k]
+            return before + sum(self._of_piece(head, p) for p in self.pieces(head))
+        if _RUN.match(text, k - 1):
+            while i and not pieces[i - 1][2] and _RUN.match(text, pieces[i][0]) and _RUN.match(text, pieces[i][0] - 1):
+                i -= 1
+                before -= self._of_piece(text, pieces[i])
+            start = pieces[i][0]
+            run = _RUN.match(text, start).group()
+            return before + int(self.prefixes(run)[len(run[: k - start].encode())])
+        return before + int(self.prefixes(text[start:end])[len(text[start:k].encode())])
 
     def within(self, text: str | None, limit: int) -> int:
         """Characters of the longest prefix that has ``limit`` tokens at most."""
         if not text:
             return 0
         if not self.rules.sure(text):
-            return self._within_pieces(text, limit)
+            return self._longest(text, self.pieces(text), limit)
         n = at = 0
-        for i, c in enumerate(self.rules.cut(text)):
+        for c in self.rules.cut(text):
             source = self.rules._of_chunk(c)
-            more = self.chunks[c]
+            more = self._counted(c)
             if n + more > limit:
-                return at + self._inside(source, limit - n)
+                return at + self._longest(source, [(*m.span(), False) for m in _BYTE_PIECES.finditer(source)], limit - n)
             n, at = n + more, at + len(source)
         return len(text)
 
-    def _within_pieces(self, text: str, limit: int) -> int:
-        """The same for texts that are not sure(), by the library's pre-tokens."""
-        pieces, n, more = self.pieces(text), 0, 0
-        for i, (start, end, special) in enumerate(pieces):
-            before, more = more, self._of_piece(text, pieces[i])
-            if n + more > limit:
+    def _longest(self, text: str, pieces: list[Piece], limit: int) -> int:
+        """The same for a text cut into pieces: the piece where the limit is passed, and what a cut can change around it."""
+        n, upto = 0, [0]
+        for i, p in enumerate(pieces):
+            n += self._of_piece(text, p)
+            upto.append(n)
+            if n > limit:
                 break
-            n += more
         else:
             return len(text)
-        # a cut can join this piece and its neighbours, those further away it can't
-        left, n = (pieces[i - 1][0], n - before) if i else (0, 0)
-        for k in range(pieces[min(i + 1, len(pieces) - 1)][1], start, -1):
-            head = text[left:k]
-            *whole, last = self.pieces(head)
-            total = n + sum(self._of_piece(head, p) for p in whole)
-            if last[0] + left == start and last[1] + left <= end and not (special or last[2]):
-                total += self.prefixes(text[start:end])[len(text[start:k].encode())]
-            else:
-                total += self._of_piece(head, last)
-            if total <= limit:
-                return k
-        return start
-
-    def _inside(self, source: str, limit: int) -> int:
-        """The same within one chunk: table lookups, the last pre-token's cut aside."""
-        for k in range(len(source) - 1, 0, -1):
-            if self._part(source[:k]) <= limit:
-                return k
+        last = i  # pieces behind it matter where a cut there can join this one
+        while last + 1 < len(pieces) and (pieces[last + 1][2] or _RUN.match(text, pieces[last][1] - 1) and _RUN.match(text, pieces[last][1])):
+            upto.append(upto[-1] + self._of_piece(text, pieces[last + 1]))
+            last += 1
+            if pieces[last][2]:
+                break
+        for j in range(last, -1, -1):
+            start, end, special = pieces[j]
+            if not special and not _ENDING.match(text[start : start + 4]):  # all cuts inside it at once
+                run, first, r = text[start:end], 0, j
+                if _RUN.match(text, end - 1):  # white space: a cut makes all of the run before it one pre-token
+                    while r and not pieces[r - 1][2] and _RUN.match(text, pieces[r - 1][1] - 1):
+                        r -= 1
+                    run = _RUN.match(text, pieces[r][0]).group()
+                    first = start - pieces[r][0]
+                elif _RUN.match(text, start):  # but for the one behind its leading space
+                    first = 1
+                table = np.frombuffer(t, np.uint8) if isinstance(t := self.prefixes(run), bytes) else t
+                ends = np.cumsum([1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in run])
+                most = end - pieces[r][0]
+                got = np.flatnonzero(table[ends[first:most]].astype(np.int64) <= limit - upto[r])
+                if len(got):
+                    return pieces[r][0] + first + int(got[-1]) + 1
+                if r < j or first == 0 or _RUN.match(text, end - 1):
+                    continue
+                end = start + 1
+            for k in range(end, start, -1):
+                if self._cut(text, pieces, j, upto[j], k) <= limit:
+                    return k
         return 0
 
 
@@ -166,8 +225,9 @@ def counter(path: str) -> PrefixCounts:
 def counted(docs: DataFrame, path: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit and keep_chars (the longest prefix with ``limit`` tokens) of every row of ``docs``.
 
-    Null and empty texts have no tokens; repeated rows give a row each; other
-    columns are dropped.
+    Null and empty texts have no tokens; repeated rows and equal doc_ids give a row
+    each; an empty table gives no rows; other columns are dropped, whatever their
+    names.  Time and memory grow with a text's length, also where it is one word.
     """
     small_batches(docs.sparkSession)
 

@@ -236,3 +236,26 @@ def test_op9_trees(spark, sf_dir, odd_dir, empty_dir):
 @pytest.mark.parametrize("op", [quality_rules.op1_quality_rules, secret_scan.op2_secret_scan, token_binary.op3_token_binary, token_counts.op7_token_counts, packing.op10_packing])
 def test_empty_tables(spark, empty_dir, op):
     assert op(spark, empty_dir).count() == 0
+
+
+ODD_CUTS = ["a\n\nb", "we'll they're 'tis x'll!!'re", "a  b   c\n \n d", "Привет, мир! как дела", "漢字かな混じり文 test", "x!!<|endoftext|>y <|endoftext|> z", "0x" + "1234567890" * 30, "\x1c\x1d a", "　　全角", "a" * 700 + " b" + "=" * 300, "don't'll''s 's\n's", " \n\n\n  \n x", "!!'r '", "\x85  x"]
+
+
+def test_op7_every_prefix_of_odd_texts():
+    c = token_counts.PrefixCounts(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "'", "'s", "'ll", "!", "<|endoftext|>", "é", "漢", "1", "Hello", "\t", "...", "Ω"]
+    for t in [*ODD_CUTS, *("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 18))) for _ in range(120))]:
+        full = [len(c.rules.tokenizer.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+        assert [c.at(t, k) for k in range(len(t) + 1)] == full and c.count(t) == full[-1]
+        for limit in {0, 1, 2, 3, 5, 8, full[-1] // 2, max(0, full[-1] - 1)}:
+            assert c.within(t, limit) == max(k for k in range(len(t) + 1) if full[k] <= limit)
+
+
+@pytest.mark.parametrize("word", ["xq" * 100_000, " " * 200_000 + "x", "é" * 100_000, "key" * 30_000, "key=k1" * 10_000])
+def test_long_words_take_linear_time(word):
+    began = time.process_time()
+    c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    assert c.count(word) > 512 and c.within(word, 512) < len(word)
+    secret_scan.find(word, secret_scan.Novelty())
+    assert time.process_time() - began < 20
