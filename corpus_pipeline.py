@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import language_id, mixing, near_dedup, packing, secret_scan
-from corvane.llm.common import free_name, materialised, words
+from corvane.llm.common import columns, free_name, materialised, words
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     net = language_id.learn(docs)
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     got = language_id.predicted(docs, net, lang, score)
-    return got.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= 0.25)).select(*docs.columns)
+    return got.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= 0.25)).select(*columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: int = 100_000) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: in
     gone = materialised(gone.where(~F.col("_stays") | (F.col("k_n") > 1)).distinct(), "copies")
     few = F.broadcast(gone) if gone.count() <= hold else gone
     # a document travels as one column, so its own names don't matter
-    told = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), F.md5("text").alias("_k"))
+    told = docs.select(F.struct(*columns(docs)).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), F.md5("text").alias("_k"))
     told = told.join(few, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
     once = told.where(F.col("_id").isNull() & F.col("_key").isNull()).select("_doc.*")
     again = told.where("_stays").dropDuplicates(["_k"]).select("_doc.*")
@@ -44,18 +44,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: in
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; the documents stay."""
-    got = secret_scan.redact(docs)
-    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else got
+    got = secret_scan.redact(docs, secret_scan.identifiers(docs))
+    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns(docs)) if "n_chars" in docs.columns else got
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     size = F.size(words(F.col("text"))).cast("long")
-    sized = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", size.alias("_words"))
-    words_of = F.col("_words")
-    how = mixing.plan(sized, words_of, mixing.favoured(words_of))
-    got = mixing.with_copies(sized, how, words_of, mixing.favoured(words_of)).where("_copies > 0")
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
+    how = mixing.plan(docs, size, mixing.favoured(size))
+    got = mixing.with_copies(docs, how, size, mixing.favoured(size)).where("copies > 0")
+    return got.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
