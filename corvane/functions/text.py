@@ -43,7 +43,18 @@ def file_date(ts: Column) -> Column:
 
 
 def safe_int(c: Column, default: int) -> Column:
-    return F.coalesce(F.try_to_number(F.trim(c), F.lit("S9999999")).cast("int"), F.lit(default))
+    """A whole number of any length that a long holds, white space around it aside; anything else is the default."""
+    return F.coalesce(F.when(strip(c).rlike(r"^[+-]?\d+$"), strip(c).try_cast("long")), F.lit(default).cast("long"))
+
+
+def stripped_of(c: Column, characters: str) -> Column:
+    """Without any of the characters at both ends."""
+    return F.btrim(c, F.lit(characters))
+
+
+def json_text(c: Column) -> Column:
+    """A struct, array or map as JSON, indented."""
+    return F.to_json(c, {"pretty": "true", "ignoreNullFields": "false"})
 
 
 def rgb(c: Column) -> tuple[Column, Column, Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
+from ..session import kept
 
 
 def similar_pairs(texts: DataFrame, least: float = 0.88) -> DataFrame:
@@ -52,14 +53,13 @@ def clusters(texts: DataFrame, least: float = 0.88, rounds: int | None = None) -
     undecided text is settled in any case, so the rounds end; more than ``rounds`` of
     them, if given, are an error.
     """
-    kept = lambda df: df.checkpoint() if texts.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-    links = kept(similar_pairs(texts, least))
+    links = kept(similar_pairs(texts, least), "alike")
     state = texts.select("pos", F.lit(None).cast("boolean").alias("is_head"))
     for k in itertools.count(1):
         seen = links.join(state.select(F.col("pos").alias("earlier"), "is_head"), "earlier").groupBy(F.col("later").alias("pos"))
         seen = seen.agg(F.max(F.coalesce("is_head", F.lit(False))).alias("near_head"), F.max(F.col("is_head").isNull()).alias("waits"))
         decided = F.when(F.col("near_head"), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        state = kept(state.join(seen, "pos", "left").select("pos", F.coalesce("is_head", decided).alias("is_head")))
+        state = kept(state.join(seen, "pos", "left").select("pos", F.coalesce("is_head", decided).alias("is_head")), "heads")
         if state.where("is_head is null").isEmpty():
             break
         if k == rounds:

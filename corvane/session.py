@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     made = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it again: lineage ends there, and work is kept when executors go."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

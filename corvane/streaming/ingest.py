@@ -6,29 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import store
+from ..sources import state
 
 
-def stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The newest version of a keyed table below ``path``, or an empty one."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v=")) if fs.exists(at) else []
-    done = [v for v in versions if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/_SUCCESS"))]
-    return spark.read.schema(schema).parquet(f"{path}/v={done[-1]}") if done else spark.createDataFrame([], schema)
+def stored(spark: SparkSession, path: str, schema, below: int | None = None) -> DataFrame:
+    """The newest version of a keyed table below ``path``, or of those before number ``below``; else an empty one."""
+    found = state.newest(spark, path, below)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
-def upsert_stream(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def upsert_stream(rows: DataFrame, table: str, checkpoint: str, keep: int = 2) -> StreamingQuery:
     """Runs store.upsert_diff for each micro-batch of ``rows`` (ref, hash, pos, ...).
 
-    Every batch writes a version named after it, so a batch that runs again after
-    a failure writes the same one.
+    Every batch writes a version named after it from the versions before it, so a
+    batch that runs again after a failure writes the same one.  The last ``keep`` stay.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        old = stored(spark, table, df.schema)
+        old = stored(df.sparkSession, table, df.schema, number)
         changes = store.upsert_diff(df, old.select("ref", "hash"))
-        store.apply_upsert(old, changes).write.mode("overwrite").parquet(f"{table}/v={number}")
+        state.save(store.apply_upsert(old, changes), table, number, keep)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
