@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import file_date, glob_regex
+from ..functions.text import file_date, glob_regex, uuid_from
+from .readers import Reader, read
 
 #: Suffixes and their types.
-MIME = {".md": "text/markdown", ".mmd": "text/markdown", ".txt": "text/plain", ".html": "text/html", ".csv": "text/csv", ".json": "application/json", ".pdf": "application/pdf", ".docx": "application/docx", ".pptx": "application/pptx", ".xlsx": "application/xlsx"}
+MIME = {".md": "text/markdown", ".mmd": "text/markdown", ".txt": "text/plain", ".html": "text/html", ".csv": "text/csv", ".json": "application/json", ".pdf": "application/pdf", ".docx": "application/docx", ".pptx": "application/pptx", ".xlsx": "application/xlsx", ".epub": "application/epub+zip", ".ipynb": "application/x-ipynb+json", ".mbox": "application/mbox"}
 
 
 def name_of(path: Column) -> Column:
@@ -67,70 +65,70 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True, **filters) ->
     return metadata(prune(files, **filters), root=folder)
 
 
-def _docx(data: bytes) -> list[str]:
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    out = []
-    for p in root.iter(f"{w}p"):
-        style = p.find(f"{w}pPr/{w}pStyle")
-        level = re.fullmatch(r"[Hh]eading\s?([1-6])", style.get(f"{w}val", "")) if style is not None else None
-        out.append(("#" * int(level[1]) + " " if level else "") + "".join(t.text or "" for t in p.iter(f"{w}t")))
-    return ["\n".join(out)]
-
-
-def _pptx(data: bytes) -> list[str]:
-    z, a = zipfile.ZipFile(io.BytesIO(data)), "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-    names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-    out = []
-    for k, n in enumerate(names, 1):
-        root = ElementTree.fromstring(z.read(n))
-        texts = ["".join(t.text or "" for t in p.iter(f"{a}t")).strip() for p in root.iter(f"{a}p")]
-        out.append("\n".join([f"Slide {k}", *[t for t in texts if t]]))
-    return out
-
-
-def _xlsx(data: bytes) -> list[str]:
-    z, m = zipfile.ZipFile(io.BytesIO(data)), "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{m}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{m}si")]
-    out = []
-    for n in sorted(x for x in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)):
-        rows = []
-        for row in ElementTree.fromstring(z.read(n)).iter(f"{m}row"):
-            cells = []
-            for c in row.iter(f"{m}c"):
-                v = c.findtext(f"{m}v") or "".join(t.text or "" for t in c.iter(f"{m}t"))
-                cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-            rows.append("| " + " | ".join(cells) + " |")
-        if rows:
-            rows.insert(1, "|" + "---|" * rows[0].count(" | ") + "---|")
-        out.append("\n".join(rows))
-    return out
-
-
-def parse(path: str, data: bytes) -> list[str]:
-    """The parts of a file as text; unknown kinds are read as UTF-8."""
-    kind = path.rsplit(".", 1)[-1].lower()
-    reader = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx}.get(kind, lambda d: [d.decode("utf-8", "replace")])
-    return reader(data)
-
-
-def load(files: DataFrame, raise_on_error: bool = False) -> DataFrame:
-    """path, part, text of scanned files; a file that can't be read is left out unless ``raise_on_error``."""
+DOCUMENT = "path string, part int, id string, text string, metadata map<string,string>, error string"
+
+
+def load(files: DataFrame, extractors: dict[str, Reader] | None = None, encoding: str = "utf-8", errors: str = "ignore", filename_as_id: bool = False, file_metadata: Callable[[str], dict] | None = None, raise_on_error: bool = False, with_errors: bool = False) -> DataFrame:
+    """Documents of scanned files: path, part, id, text, metadata, error; blank texts are left out.
+
+    ``extractors`` (suffix -> function of path and bytes) come before the built-in
+    readers; unknown suffixes are plain text; kinds without a reader fail.  A file that
+    can't be read raises, or is left out, or with ``with_errors`` becomes a row that
+    says why; a missing module always raises.  ``file_metadata`` adds to each document's metadata, null values aside.
+    """
+    known = [c for c in ("name", "suffix", "mime", "main_dir", "modified", "length") if c in files.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, data in zip(batch["path"], batch["content"]):
+            for r in batch.to_dict("records"):
+                path = r["path"]
                 try:
-                    rows += [(path, k, t) for k, t in enumerate(parse(path, bytes(data))) if t.strip()]
-                except Exception:
+                    own = {k: str(r[k]) for k in known if r[k] is not None} | {"file_path": path}
+                    own |= {k: str(v) for k, v in (file_metadata(path) if file_metadata else {}).items() if v is not None}
+                    for k, (text, more) in enumerate(read(path, bytes(r["content"]), extractors, encoding, errors)):
+                        if text.strip():
+                            rows.append((path, k, f"{path}_part_{k}" if filename_as_id else None, text, own | more, None))
+                except ImportError:
+                    raise
+                except Exception as e:
                     if raise_on_error:
                         raise
-            yield pd.DataFrame(rows, columns=["path", "part", "text"])
+                    if with_errors:
+                        rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "part", "id", "text", "metadata", "error"]).astype({"part": "Int32"})
+
+    got = files.select("path", "content", *known).mapInPandas(run, DOCUMENT)
+    return got if filename_as_id else got.withColumn("id", F.coalesce("id", F.when(F.col("error").isNull(), uuid_from(F.concat_ws("|", "path", F.col("part").cast("string"))))))
+
+
+def load_new(files: DataFrame, cache: DataFrame | None, **options) -> DataFrame:
+    """Documents of all files: those whose path and checksum the cache (path, checksum, DOCUMENT) has come from there."""
+    summed = files.withColumn("checksum", F.sha2("content", 256))
+    if cache is None:
+        return load(files, **options).join(summed.select("path", "checksum"), "path")
+    fresh = summed.join(cache.select("path", "checksum").distinct(), ["path", "checksum"], "left_anti")
+    return load(fresh, **options).join(fresh.select("path", "checksum"), "path").unionByName(cache, allowMissingColumns=True)
+
+
+def suffixes(files: DataFrame) -> DataFrame:
+    """The distinct suffixes."""
+    return files.select(suffix_of(F.col("path")).alias("suffix")).distinct()
+
+
+def without_sheets(documents: DataFrame, path: str = "path") -> DataFrame:
+    """Documents that don't come from spreadsheets."""
+    return documents.where(~F.col(path).endswith(".xlsx"))
+
+
+def node_of(documents: DataFrame) -> DataFrame:
+    """Documents (id, text, metadata, excluded_embed) as nodes: the model's excluded keys are the embedder's."""
+    return documents.select(F.col("id").alias("node_id"), "text", "metadata", "excluded_embed", F.col("excluded_embed").alias("excluded_llm"))
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, part int, text string")
+def document_of(nodes: DataFrame) -> DataFrame:
+    """Nodes as documents again, metadata values as text."""
+    return nodes.select(F.col("node_id").alias("id"), "text", F.col("metadata").cast("map<string,string>").alias("metadata"), "excluded_embed", "excluded_llm")
 
 
 def backup_csv(df: DataFrame, path: str) -> None:
