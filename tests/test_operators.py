@@ -61,7 +61,7 @@ def test_upsert_cases(spark):
 
 
 def test_rules(spark):
-    r = rules.merge("EU_REGULATION", [])
+    r = rules.merge("eu_regulation", [])
     df = spark.createDataFrame([(1, "> (3) foo\nbody\n  Article 5\n\n\nx")], "doc int, text string")
     assert rules.apply(df, r, "doc").first()["text"] == "3. foo\nbody\n\n## Article 5\n\nx"
     assert [rules.problem(x) for x in ({"type": "x"}, {"type": "heading", "pattern": "(", "level": 1}, {"type": "heading", "pattern": "a", "level": 9}, {"type": "regex_replace", "pattern": "a", "replacement": "$1"}, {"type": "regex_replace", "pattern": r"\d", "replacement": ""}, {"type": "heading", "pattern": "a", "level": 2})] == ["type", "pattern", "level", "replacement", "digits", None]
@@ -125,7 +125,7 @@ def test_fuzzy_clusters_run_to_the_end_or_fail(spark):
 
 def test_html_table():
     html = "<table><tr><th>a</th><th>b</th></tr><tr><td rowspan=2>1</td><td>2</td></tr><tr><td>3</td></tr></table>"
-    assert tables.table_to_markdown(html) == "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 1 | 3 |\n"
+    assert tables.table_to_markdown(html) == "|   a |   b |\n|----:|----:|\n|   1 |   2 |\n|   1 |   3 |\n\n"
     assert tables.table_to_markdown(None) == ""
 
 
