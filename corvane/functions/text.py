@@ -126,16 +126,33 @@ AFTER_PERSON = (
 )
 
 
+#: PERSON with the same matches, tried once a word: a match can only begin where a run of its first class does, or where
+#: the one before ended, and an "@" must follow the second word or the one after it.
+_PERSON_FAST = r"(?:(?<![a-zA-Z0-9_.@])|\G)[a-zA-Z0-9_.@]++ (?=[a-zA-Z0-9_.%-]*+(?:@|\s++[A-Za-z0-9._%-]*+@))" + PERSON.partition(" ")[2]
+
+
+def _without_persons(c: Column) -> Column:
+    """Found tuples and the parts between are looked up by a lambda's argument, so the pattern runs twice over a text, not for each use."""
+    both = F.array(F.struct(c.alias("text"), F.regexp_extract_all(c, F.lit(f"({_PERSON_FAST})"), 1).alias("found"), F.split(c, _PERSON_FAST).alias("parts")))
+
+    def one(x: Column) -> Column:
+        found, parts = x["found"], x["parts"]
+        n = F.size(found)
+        kept = F.concat(F.array_join(F.slice(parts, 1, F.greatest(n, F.lit(1))), ""), F.element_at(found, -1), F.element_at(parts, -1))
+        return F.when(n == 0, x["text"]).when(n == 1, F.array_join(parts, "")).otherwise(kept)
+
+    return F.element_at(F.transform(both, one), 1)
+
+
 def clean_text(c: Column) -> Column:
     """The cleaning chain: marks, the confidentiality block, personal tuples, dots, blank lines, repeats, lone references.
 
     One personal tuple goes; of several the last one stays.
     """
     c = F.regexp_replace(F.regexp_replace(c, "\u200b", ""), CONFIDENTIAL, "")
-    found, parts = F.regexp_extract_all(c, F.lit(f"({PERSON})"), 1), F.split(c, PERSON)
-    m = F.size(found)
-    kept = F.concat(F.array_join(F.slice(parts, 1, F.greatest(m, F.lit(1))), ""), F.element_at(found, -1), F.element_at(parts, -1))
-    c = F.when(m == 0, c).when(m == 1, F.array_join(parts, "")).otherwise(kept)
+    # most texts have no such tuple: a mark, .com and eight digits tell that before the pattern walks the words
+    may = c.contains("@") & c.rlike(r"\.com [0-9]{8}")
+    c = F.when(may, _without_persons(c)).otherwise(c)
     for pattern, new in AFTER_PERSON:
         c = F.regexp_replace(c, pattern, new)
     return c

@@ -13,7 +13,7 @@ BAND, EDGE, WEIGHTS, HEADER, FOOTER = 8, 5, (1.0, 0.75, 0.5, 0.5, 0.5), 0.3, 0.5
 
 
 def font_histogram(spans: DataFrame) -> DataFrame:
-    """Characters and spans of each style (size, flags, font), most characters first: ident, size, n_chars, n."""
+    """Characters and spans of each style (size, flags, font), in no order: ident, size, n_chars, n."""
     ident = F.concat_ws("_", F.round("size").cast("int").cast("string"), F.col("flags").cast("string"), "font")
     by = spans.groupBy(ident.alias("ident"), F.round("size").cast("int").alias("size")).agg(F.sum(F.length(F.trim("text"))).alias("n_chars"), F.count("*").alias("n"))
     return by
@@ -41,7 +41,11 @@ def edge_scores(pages: DataFrame, top: bool = True) -> DataFrame:
     cells = pages.select("doc", "page", F.posexplode(five).alias("slot", "line"))
     count = pages.groupBy("doc").agg(F.max("page").alias("last"))
     a, b = cells.join(count, "doc").alias("a"), cells.alias("b")
-    near = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.slot") == F.col("b.slot"))
+    # pages meet in blocks as wide as the band, a page with its own block and the next ones on either side
+    block = lambda page: F.floor(page / BAND)
+    a = a.withColumn("block", F.explode(F.sequence(block(F.greatest(F.col("page") - BAND, F.lit(0))), block(F.col("page") + BAND)))).alias("a")
+    b = b.withColumn("block", block(F.col("page"))).alias("b")
+    near = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.block") == F.col("b.block"))
     near &= (F.col("b.page") >= F.greatest(F.col("a.page") - BAND, F.lit(1))) & (F.col("b.page") < F.least(F.col("a.page") + BAND, F.col("a.last") + 1))
     got = a.join(b, near).groupBy("a.doc", "a.page", "a.slot", "a.line")
     match = positional_match(F.col("a.line"), F.col("b.line"))
@@ -52,13 +56,30 @@ def edge_scores(pages: DataFrame, top: bool = True) -> DataFrame:
     return got.select("doc", "page", "slot", "line", F.round(score, 6).alias("score"), (score > (HEADER if top else FOOTER)).alias("is_edge"))
 
 
-def points_in_rects(points: DataFrame, rects: DataFrame) -> DataFrame:
-    """Pairs of points (page, point, x, y) and rectangles (page, rect, x0, y0, x1, y1) that hold them."""
-    return points.join(rects, "page").where("x between x0 and x1 and y between y0 and y1").select("page", "point", "rect")
+def points_in_rects(points: DataFrame, rects: DataFrame, cell: float = 16.0) -> DataFrame:
+    """Pairs of points (page, point, x, y) and rectangles (page, rect, x0, y0, x1, y1) that hold them.
+
+    Both meet in the cells of a grid: a point has one, a rectangle those that it touches.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    spread = rects.where("x0 <= x1 and y0 <= y1").withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    placed = points.withColumns({"cx": at("x"), "cy": at("y")})
+    return placed.join(spread, ["page", "cx", "cy"]).where("x between x0 and x1 and y between y0 and y1").select("page", "point", "rect")
 
 
 def tables_before(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """For each table (page, tab, y1) the first line (page, line, y0, x0) that starts at its end or below."""
-    got = lines.join(tables, "page").where("y1 <= y0")
-    place = F.row_number().over(W.partitionBy("page", "tab").orderBy("y0", "x0", "line"))
-    return got.withColumn("_n", place).where("_n = 1").select("page", "tab", "line")
+    """For each table (page, tab, y1) the first line (page, line, y0, x0) that starts at its end or below; each table once.
+
+    Lines and tables of a page are put in one order, downwards, and the next line
+    behind a table is its line, so nothing is paired.
+    """
+    one = lines.select("page", F.col("y0").alias("y"), F.lit(1).alias("kind"), "x0", "line", F.lit(None).cast("long").alias("tab"))
+    two = tables.select("page", F.col("y1").alias("y"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("x0"), F.lit(None).cast(dict(lines.dtypes)["line"]).alias("line"), F.col("tab").cast("long").alias("tab"))
+    behind = W.partitionBy("page").orderBy("y", "kind", "x0", "line").rowsBetween(0, W.unboundedFollowing)
+    rows = one.unionByName(two).withColumn("next", F.first("line", ignorenulls=True).over(behind))
+    return rows.where("kind = 0 and next is not null").select("page", F.col("tab").cast(dict(tables.dtypes)["tab"]).alias("tab"), F.col("next").alias("line"))
+
+
+def in_order(boxes: DataFrame, by: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Adds ``place``: reading order by lower edge, then left edge."""
+    return boxes.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("y1", "x0")))

@@ -185,3 +185,14 @@ def test_first_table_line(spark):
     lines = spark.createDataFrame([(0, 1, 5.0, 0.0), (0, 2, 9.0, 0.0)], "page int, line int, y0 double, x0 double")
     tabs = spark.createDataFrame([(0, 7, 6.0)], "page int, tab int, y1 double")
     assert [tuple(r) for r in layout.tables_before(lines, tabs).collect()] == [(0, 7, 2)]
+
+
+def test_person_pattern_has_the_same_matches(spark):
+    rnd = random.Random(6)
+    parts = ["ann", "lee", "a.b", " ", "  ", "@", "x@y", ".com 12345678", ".com", " 12345678", "\n", "_", "%-"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(4, 30))) for _ in range(3000)] + ["a b c@d.com 12345678e f g@h.com 12345678"] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from pyspark.sql import functions as F
+
+    pair = [F.regexp_extract_all("t", F.lit(f"({p})"), 1) for p in (T.PERSON, T._PERSON_FAST)]
+    assert df.where(F.size(pair[0]) > 0).count() > 20 and df.where(pair[0] != pair[1]).count() == 0
