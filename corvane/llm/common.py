@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -64,6 +65,23 @@ class Scratch:
         self.paths = []
 
 
+def running(df: DataFrame, order: list[str], scratch: Scratch, value: str | None = None, high: str | None = None) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value``, or the most of ``high``, over all rows before in ``order``; null at the first.
+
+    Rows are dealt by ranges; each range is walked by itself after the ranges'
+    own sums, a row each, so no task has all rows.
+    """
+    held = scratch.kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    whole = F.sum(value) if value else F.max(high)
+    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = held.groupBy("_part").agg(whole.alias("_w"))
+    parts = parts.select("_part", (F.sum("_w") if value else F.max("_w")).over(upto).alias("_outer"))
+    inner = whole.over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    got = held.withColumn("_inner", inner).join(F.broadcast(parts), "_part")  # a row for each range
+    both = F.when(F.coalesce("_inner", "_outer").isNotNull(), F.coalesce("_inner", F.lit(0)) + F.coalesce("_outer", F.lit(0))) if value else F.greatest("_inner", "_outer")
+    return got.withColumn("before", both).drop("_part", "_inner", "_outer")
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

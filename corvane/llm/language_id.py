@@ -134,25 +134,30 @@ def learnable() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 != 1
 
 
-def learn(docs: DataFrame, sample: int = 3000, windows: int = 6, length: int = 192) -> ByteNetwork | None:
-    """A network from about ``sample`` labelled documents at most, chosen by a hash of doc_id, up to ``windows`` evenly spaced windows of each.
+def learn(docs: DataFrame, sample: int = 18_000, length: int = 192) -> ByteNetwork | None:
+    """A network from ``sample`` labelled rows at most: windows of ``length`` characters of the labelled texts, of all of them alike.
 
-    None without labelled texts.
+    A window is chosen by a hash of doc_id, text and its place against the share
+    that the number of windows allows, equal ones once, those of the least hashes if
+    there are more.  None without labelled texts.
     """
-    usable = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    share = min(1.0, sample / max(1, usable.count()))
-    some = usable.where(F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    room = F.greatest(F.lit(0), F.length("text") - length)
-    parts = F.transform(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.floor(room * i / (windows - 1)))), lambda s: F.substring("text", (s + 1).cast("int"), F.lit(length)))
-    rows = sorted((r["lang"], tuple(r["parts"])) for r in some.select("lang", parts.alias("parts")).collect())
+    most = 1 << 30
+    usable = docs.where(learnable() & F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
+    n = usable.agg(F.sum(F.ceil(F.length("text") / length))).first()[0] or 0
+    share = int(min(1.0, 1.1 * sample / max(1, n)) * most)
+    mark = lambda i: F.xxhash64(F.lit("lang"), F.col("_key"), i)
+    places = F.filter(F.sequence(F.lit(0), F.ceil(F.length("text") / length).cast("int") - 1), lambda i: F.pmod(mark(i), F.lit(most)) < share)
+    some = usable.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_at", F.explode(places))
+    some = some.select("lang", F.substring("text", (F.col("_at") * length + 1).cast("int"), F.lit(length)).alias("window"), mark(F.col("_at")).alias("h")).distinct()
+    rows = sorted((r["lang"], r["window"]) for r in some.orderBy("h", "lang", "window").limit(sample).collect())
     languages = sorted({lang for lang, _ in rows})
     # every third window is also shown cut short, as short texts are
-    shown = [(lang, q) for lang, parts in rows for i, p in enumerate(parts) for q in ((p, p[: 16 + len(p) % 7 * 16]) if i % 3 == 0 else (p,))]
-    got = [(q.encode()[:length].ljust(length, b"\0"), languages.index(lang)) for lang, q in shown if _LETTER.search(q)]
-    if not got:
+    shown = [(lang, q) for i, (lang, p) in enumerate(rows) for q in ((p, p[: 16 + len(p) % 7 * 16]) if i % 3 == 0 else (p,))]
+    pieces = [(part, lang) for lang, q in shown if _LETTER.search(q) for data in [q.encode()] for part in (data[i : i + length] for i in range(0, len(data), length))]
+    if not pieces:
         return None
     net = ByteNetwork.new(languages, length)
-    net.train(np.frombuffer(b"".join(p for p, _ in got), np.uint8).reshape(-1, length), np.array([k for _, k in got]))
+    net.train(np.frombuffer(b"".join(p.ljust(length, b"\0") for p, _ in pieces), np.uint8).reshape(-1, length), np.array([languages.index(lang) for _, lang in pieces]))
     return net
 
 
@@ -183,7 +188,7 @@ def predicted(docs: DataFrame, net: ByteNetwork | None, lang: str = "_lang", sco
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predicted language of every document."""
+    """The predicted language of every document: ``und`` with 0 for null, empty and letterless texts; equal texts alike; no rows for an empty table."""
     docs = table(spark, sf_dir, "documents")
     net = learn(docs)
     got = predicted(docs.select("doc_id", "text"), net)

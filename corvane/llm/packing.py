@@ -4,12 +4,14 @@ A document fills whole windows by itself; what remains of it is packed with the
 remainders of others.  For each window the longest remainder is set in, and a
 bitset dynamic programme over the lengths left finds the multiset that fills the
 window closest to its capacity; backtracking gives how many of each length it
-takes, and the same multiset is used as often as the counts allow.  What fills no
-window in a task is cut freely: into whole windows and then into powers of two,
-which need no padding.
+takes, and the same multiset is used as often as the counts allow.  A multiset that
+leaves a little slack waits for other remainders; when the task ends, or too many wait,
+its slack is filled with a cut from the multisets that are filled worst.  What is left
+then is less than a window and is cut into powers of two, which need no padding.
 
 Every task packs what it reads, so nothing is shuffled; remainders wait in a pool
-of bounded size.
+whose size bounds a task's memory: at ``pool`` of them windows are made, and if more
+than half can't be filled, they are topped up, as at the end.
 """
 
 from __future__ import annotations
@@ -108,57 +110,74 @@ class Packer:
             self.waiting.append(Piece(doc, n - n % c, ids[n - n % c :].copy(), n))
         return out + (self._pack() if len(self.waiting) >= self.pool else [])
 
-    def _pack(self) -> list[tuple[Piece, int, int]]:
-        """Fills windows from the pool; what would leave one short waits on."""
+    def _pack(self, last: bool = False) -> list[tuple[Piece, int, int]]:
+        """Fills windows from the pool; what would leave one short waits on, or is topped up."""
         by: dict[int, list[Piece]] = defaultdict(list)
         for p in reversed(self.waiting):
             by[len(p.ids)].append(p)
-        out, short = [], []
+        out, short, n = [], [], 0
         for lengths, times in windows(Counter({k: len(v) for k, v in by.items()}), self.capacity):
             for _ in range(times):
                 pieces = [by[k].pop() for k in lengths]
                 if sum(lengths) == self.capacity:
                     out += self._emit(pieces)
                 else:
-                    short += pieces
-        if len(short) > self.pool // 2:  # lengths that don't go together: cut them
-            out += self._cut(short, last=False)
-            short = self.waiting
-        self.waiting = short
+                    short.append(pieces)
+                    n += len(pieces)
+        if last or n > self.pool // 2:
+            return out + self._top_up(short)
+        self.waiting = [p for pieces in short for p in pieces]
         return out
 
-    def _cut(self, pieces: list[Piece], last: bool) -> list[tuple[Piece, int, int]]:
-        """Windows filled in turn, pieces cut at their ends; the last part in powers of two, or it waits."""
-        out, room, now, rest = [], self.capacity, [], list(reversed(pieces))
-        left = sum(len(p.ids) for p in pieces)
-        while rest:
-            if not now and left < self.capacity:
-                if not last:
-                    break
-                room = 1 << (left.bit_length() - 1)
-            p = rest.pop()
-            if len(p.ids) > room:
-                rest.append(Piece(p.doc, p.start + room, p.ids[room:], p.doc_tokens))
-                p = Piece(p.doc, p.start, p.ids[:room], p.doc_tokens)
-            now.append(p)
-            room -= len(p.ids)
-            left -= len(p.ids)
-            if not room:
+    def _top_up(self, groups: list[list[Piece]]) -> list[tuple[Piece, int, int]]:
+        """Fills the slack of groups, the fullest first, with cuts from the emptiest; less than a window waits on."""
+        groups = sorted(groups, key=lambda g: -sum(len(p.ids) for p in g))
+        out, fillers, i, j = [], [], 0, len(groups)
+        while i < j:
+            now, room = list(groups[i]), self.capacity - sum(len(p.ids) for p in groups[i])
+            i += 1
+            while room and (fillers or i < j):
+                if not fillers:
+                    j -= 1
+                    fillers = list(groups[j])
+                p = fillers.pop()
+                if len(p.ids) > room:
+                    fillers.append(Piece(p.doc, p.start + room, p.ids[room:], p.doc_tokens))
+                    p = Piece(p.doc, p.start, p.ids[:room], p.doc_tokens)
+                now.append(p)
+                room -= len(p.ids)
+            if room:
+                fillers += now
+            else:
                 out += self._emit(now)
-                now, room = [], self.capacity
-        self.waiting = rest[::-1]
+        self.waiting = fillers
         return out
 
     def finish(self) -> list[tuple[Piece, int, int]]:
-        out = self._pack()
-        return out + self._cut(self.waiting, last=True)
+        """All that waits: full windows, then powers of two."""
+        out = self._pack(last=True)
+        left = sum(len(p.ids) for p in self.waiting)
+        rest, self.waiting = self.waiting[::-1], []
+        while rest:
+            room, now = min(self.capacity, 1 << (left.bit_length() - 1)), []
+            left -= room
+            while room:
+                p = rest.pop()
+                if len(p.ids) > room:
+                    rest.append(Piece(p.doc, p.start + room, p.ids[room:], p.doc_tokens))
+                    p = Piece(p.doc, p.start, p.ids[:room], p.doc_tokens)
+                now.append(p)
+                room -= len(p.ids)
+            out += self._emit(now)
+        return out
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """SCHEMA rows, one for each piece of each row of ``docs`` (doc_id, text; other columns are dropped).
 
-    Null and empty texts are the end id alone.  Repeated rows are packed each.
-    ``ids`` is null unless ``with_ids``.
+    Null and empty texts are the end id alone; repeated rows and equal doc_ids are
+    packed each; a very long text fills windows by itself; an empty table gives no
+    rows.  ``ids`` is null unless ``with_ids``.
     """
     small_batches(docs.sparkSession)
 

@@ -113,22 +113,36 @@ def verdict(rules: list[Rule], stats: Column) -> Column:
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` plus ``_base``, ``_stats``, ``base_failed``, ``rule`` and ``kept``.
+    """doc (all columns of ``docs``, whatever their names), base, stats, base_failed, rule and kept of each row.
 
-    Null and empty texts have no words and fail the base rule.  Other columns of
-    ``docs`` pass through; their names must not start with an underscore.
+    Null and empty texts have no words and fail the base rule; equal rows get equal
+    verdicts; an empty table gives no rows; a very long text is one row's arrays of its
+    words.
     """
     out = with_statistics(docs)
-    b = F.col("_base")
+    b = F.col("base")
     out = out.withColumn("base_failed", (b["n_words"] < 10) | (100 * b["n_repeat_words"] > 20 * b["n_words"]))
-    out = out.withColumn("rule", verdict(rules, F.col("_stats")))
+    out = out.withColumn("rule", verdict(rules, F.col("stats")))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str, sample: int = 12_000) -> DataFrame:
-    """Base counts and the learned verdict for every document; the list is learned from about ``sample`` labelled rows."""
+    """Base counts and the learned verdict for every document; the list is learned from ``sample`` labelled rows at most."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn(labelled(docs, table(spark, sf_dir, "labels"), "quality", sample))
-    b = F.col("_base")
+    b = F.col("base")
     counts = [b[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return apply_rules(docs, rules).select("doc_id", *counts, "base_failed", "kept", "rule")
+    return apply_rules(docs, rules).select("doc.doc_id", *counts, "base_failed", "kept", "rule")
+
+
+#: The counts by themselves; the verdict is learned, so SQL can't give it.
+BASE_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+g AS (SELECT k, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+r AS (SELECT k, i FROM g SEMI JOIN (SELECT k, g FROM g GROUP BY 1, 2 HAVING count(*) > 1) USING (k, g)),
+c AS (SELECT k, count(DISTINCT i + j) AS n FROM r, range(5) x(j) GROUP BY 1),
+l AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(ws) AS base_failed FROM w LEFT JOIN c USING (k) LEFT JOIN l USING (k)
+"""

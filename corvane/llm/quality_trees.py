@@ -96,7 +96,11 @@ def train(rows: list[tuple], trees: int = 60, depth: int = 4, rate: float = 0.15
 
 
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
-    """``docs`` plus ``_base``, ``_stats`` and ``_score``; null texts count as empty.  ``docs`` has a text column and none that starts with an underscore."""
+    """doc (all columns of ``docs``, whatever their names), base, stats and score of each row.
+
+    Null texts count as empty, which has a score like any other; equal texts score
+    alike; an empty table gives no rows.
+    """
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -104,7 +108,7 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
             yield pd.Series(model.score(np.stack([c.to_numpy(float) for c in columns], axis=1)))
 
     stats = with_statistics(docs)
-    return stats.withColumn("_score", score(*[F.col("_stats")[k] for k in FEATURES]))
+    return stats.withColumn("score", score(*[F.col("stats")[k] for k in FEATURES]))
 
 
 def held_out() -> Column:
@@ -113,8 +117,8 @@ def held_out() -> Column:
 
 
 def op9_quality_trees(spark: SparkSession, sf_dir: str, sample: int = 12_000) -> DataFrame:
-    """A quality score for every document, learned from about ``sample`` labelled rows."""
+    """A quality score for every document, learned from ``sample`` labelled rows at most."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(labelled(docs, table(spark, sf_dir, "labels"), "quality", sample, ~held_out()))
-    got = scored(docs, model).select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"))
-    return got.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    got = scored(docs, model).select("doc.doc_id", "score").withColumn("held_out", held_out())
+    return got.select("doc_id", "held_out", "score").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, words
+from .common import WHITE, columns, words
 
 #: The statistics that the learners use, all ratios or sizes that mean the same for a text of any length.
 FEATURES = (
@@ -45,14 +45,15 @@ def _covered(at: Column) -> Column:
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` plus the base counts and FEATURES of its text column, in struct ``_stats``; null counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_w", words(F.col(text)))
+    """doc (all columns of ``df``, whatever their names), base (counts) and stats (FEATURES) of the text column of each row; null counts as empty."""
+    df = df.select(F.struct(*columns(df)).alias("doc"), F.col(text).alias("_text"))
+    t = F.coalesce(F.col("_text"), F.lit(""))
+    df = df.withColumn("_w", words(F.col("_text")))
     df = _repeats(df)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
     df = df.withColumn("_l", lines)
     df = df.withColumn(
-        "_base",
+        "base",
         F.struct(
             F.size("_w").cast("long").alias("n_words"),
             F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -66,31 +67,36 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             _left(t, "|").alias("n_pipe"),
             _left(t, "0-9").alias("n_digits"),
         ),
-    ).drop("_w", "_h", "_g", "_s", "_at", "_l")
-    b = F.col("_base")
+    )
+    b = F.col("base")
     n, c = F.greatest(b["n_words"], F.lit(1)), F.greatest(b["word_chars"], F.lit(1))
     ratio = {
         "mean_word": b["word_chars"] / n, "symbol_ratio": b["n_symbols"] / c, "dup_line_ratio": b["n_dup_lines"] / F.greatest(b["n_lines"], F.lit(1)),
         "repeat_ratio": b["n_repeat_words"] / n, "distinct_ratio": b["n_distinct"] / n, "upper_ratio": b["n_upper"] / c, "bang_ratio": b["n_bang"] / c,
         "pipe_ratio": b["n_pipe"] / c, "digit_ratio": b["n_digits"] / c, "words_per_line": b["n_words"] / F.greatest(b["n_lines"], F.lit(1)), "n_words": b["n_words"].cast("double"),
     }
-    return df.withColumn("_stats", F.struct(*[ratio[k].alias(k) for k in FEATURES]))
+    return df.select("doc", "base", F.struct(*[ratio[k].alias(k) for k in FEATURES]).alias("stats"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, rows: Column | None = None) -> list[tuple]:
-    """(label, FEATURES...) of a sample of labelled documents, about ``bound`` at most.
+    """(label, FEATURES...) of a sample of labelled documents, ``bound`` at most.
 
-    Rows are chosen by a hash of doc_id against the share that the number of
-    labels allows, so reruns agree; documents whose labels differ are left out.
+    Documents are chosen by hashes of doc_id and of doc_id and text against the shares
+    that the numbers of labels and of labelled rows allow, equal rows once, those of the
+    least hashes if there are more, so reruns agree; documents whose labels differ
+    are left out.
     """
+    most = 1 << 30
     one = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if rows is not None:
         one = one.where(rows)
     one = one.groupBy("doc_id").agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z")
     share = min(1.0, bound / max(1, one.count()))
-    some = one.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    some = some.select(F.col("doc_id").alias("_id"), "_y")
-    # the sample has a bound of its own, so every task can hold it
+    some = one.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(most)) < int(share * most)).select(F.col("doc_id").alias("_id"), "_y")
+    # the sample has a bound of its own, so every task can hold it; a doc_id may stand for many rows
     found = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
-    got = with_statistics(found).select("doc_id", "_y", "_stats").collect()
-    return [(r["_y"], *r["_stats"]) for r in sorted(got, key=lambda r: (r["doc_id"], tuple(r["_stats"])))]
+    share = min(1.0, 1.1 * bound / max(1, found.count()))
+    found = found.withColumn("_h", F.xxhash64("doc_id", "text")).where(F.pmod("_h", F.lit(most)) < int(share * most))
+    got = with_statistics(found).select("doc.doc_id", "doc._y", "stats", F.col("doc._h").alias("h")).distinct()
+    got = got.orderBy("h", "doc_id", "stats").limit(bound).collect()
+    return [(r["_y"], *r["stats"]) for r in sorted(got, key=lambda r: (r["doc_id"], tuple(r["stats"])))]

@@ -24,11 +24,10 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunked import encoder, slices
-from .common import drop_scratch, scratch_path, small_batches, table
+from .common import Scratch, drop_scratch, running, scratch_path, small_batches, table
 
 #: Fixed values of the format: frequency bits, least state, states of a block, steps of a block, steps between checkpoints.
 SCALE, LOW, LANES, STEPS, CHECK = 20, 1 << 31, 64, 512, 256
@@ -90,7 +89,7 @@ def encode_blocks(x: np.ndarray, f: Frequencies) -> list[dict]:
 
 
 def decode_blocks(blocks: list[dict], steps: int, f: Frequencies, first: int = 0) -> np.ndarray:
-    """Ids (blocks, (steps - first) * LANES); ``first`` may be 0 or a checkpoint's step."""
+    """Ids (blocks, (steps - first) * LANES); ``first`` may be 0 or a checkpoint's step.  Words that a damaged stream lacks count as 0; checksums tell."""
     streams = [np.frombuffer(b["stream"], "<u4") for b in blocks]
     start = [0] * len(blocks)
     states = [b["states"] for b in blocks]
@@ -110,7 +109,7 @@ def decode_blocks(blocks: list[dict], steps: int, f: Frequencies, first: int = 0
         state = f.freq[ids] * (state >> _SCALE) + slot - f.start[ids]
         need = state < _LOW
         rank = np.cumsum(need, axis=1)
-        take = np.where(need, at[:, None] + rank - 1, 0)
+        take = np.where(need, np.minimum(at[:, None] + rank - 1, len(stream) - 1), 0)
         state = np.where(need, state << _32 | stream[take], state)
         at += rank[:, -1]
     return out.reshape(len(blocks), -1)
@@ -133,6 +132,13 @@ def encode_segment(ids: np.ndarray, f: Frequencies) -> list[dict]:
     return out
 
 
+def decode_range(block: dict, f: Frequencies, start: int, end: int) -> np.ndarray:
+    """Ids ``start`` to ``end`` of one block, decoded from the last checkpoint before them."""
+    steps = -(-block["n"] // LANES)
+    first = max([m[0] for m in block["marks"] if m[0] * LANES <= start], default=0)
+    return decode_blocks([block], steps, f, first)[0][start - first * LANES : end - first * LANES]
+
+
 def decode_segment(blocks: list[dict], f: Frequencies) -> np.ndarray:
     """All ids of a segment; raises if a block's checksum differs."""
     full = [b for b in blocks if b["n"] == BLOCK]
@@ -194,8 +200,10 @@ def _frequencies(tokens: DataFrame) -> Frequencies:
 
 def _in_order(ranges: DataFrame, low: str, high: str) -> bool:
     """Whether ranges that follow each other by their lower ends never touch."""
-    before = F.lag(high).over(W.orderBy(low, high))
-    return ranges.withColumn("_before", before).where(F.col("_before") >= F.col(low)).isEmpty()
+    scratch = Scratch(ranges.sparkSession)
+    good = running(ranges.select(low, high), [low, high], scratch, high=high).where(F.col("before") >= F.col(low)).isEmpty()
+    scratch.drop()
+    return good
 
 
 def _segments(tokens: DataFrame, f: Frequencies, vocabulary: int, segment: int) -> DataFrame:
@@ -269,13 +277,11 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     told = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/frequencies").collect()))
     f = Frequencies(np.array(told["ids"], np.int64), np.array(told["share"], np.int64))
     segments = spark.read.parquet(f"{folder}/segments")
-    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
     some = segments.select("part", "segment", "low", "n")
-    inside = some.withColumn("_in", F.coalesce(F.sum("n").over(upto(W.partitionBy("part").orderBy("low", "segment"))), F.lit(0)))
-    # a row for each part
-    parts = some.groupBy("part").agg(F.sum("n").alias("_n"), F.min(F.struct("low")).alias("_low"))
-    parts = parts.select("part", F.coalesce(F.sum("_n").over(upto(W.orderBy("_low", "part"))), F.lit(0)).alias("_before"))
-    places = inside.join(parts, "part").select("segment", (F.col("_in") + F.col("_before")).alias("before"))
+    # parts follow each other by their first doc_id, segments inside a part likewise
+    parts = some.groupBy(F.col("part").alias("_p")).agg(F.min(F.struct("low")).alias("first"))
+    some = some.join(parts, F.col("part") == F.col("_p")).select("first", "part", "low", "segment", "n")
+    places = running(some, ["first", "part", "low", "segment"], Scratch(spark), value="n").select("segment", F.coalesce("before", F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

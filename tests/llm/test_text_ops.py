@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -259,3 +260,94 @@ def test_long_words_take_linear_time(word):
     assert c.count(word) > 512 and c.within(word, 512) < len(word)
     secret_scan.find(word, secret_scan.Novelty())
     assert time.process_time() - began < 20
+
+
+def test_op1_equals_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.execute(quality_rules.BASE_SQL).fetchall()
+    got = quality_rules.op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_learners_on_given_labels(spark):
+    """Held-out quality of the rules and the trees on the labels of the given tables, and of the languages."""
+    d = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    trees = [(r["predicted"], labels[r["doc_id"]]) for r in quality_trees.op9_quality_trees(spark, d).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    kept = [(int(r["kept"]), labels[r["doc_id"]]) for r in quality_rules.op1_quality_rules(spark, d).collect() if labels.get(r["doc_id"]) is not None]
+    assert np.mean([a == b for a, b in trees]) > 0.8 and np.mean([a == b for a, b in kept]) > 0.8
+
+
+def test_sample_has_a_bound(spark):
+    """One doc_id that stands for many rows doesn't make the sample larger."""
+    docs = spark.range(500).selectExpr("7L doc_id", "concat('a text number ', id, ' of many') text", "'en' lang")
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    from corvane.llm.statistics import labelled
+
+    assert 20 <= len(labelled(docs, labels, "quality", 50)) <= 50
+
+
+def test_own_names_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b c", True, "r", 1.0, "x")], "doc_id long, text string, kept boolean, rule string, `_stats` double, `a.b` string")
+    got = quality_rules.apply_rules(docs, []).select("doc.*").columns
+    assert got == docs.columns == quality_trees.scored(docs, quality_trees.train([])).select("doc.*").columns
+
+
+def plain_network(net, text):
+    """The network's languages for one text, byte by byte."""
+    data, total = text.encode(), np.zeros(len(net.languages))
+    for at in range(0, len(data), net.length):
+        part = data[at : at + net.length]
+        x = part.ljust(net.length, b"\0")
+        pooled = [max(sum(t[k, x[i + k], f] for k in range(w)) for i in range(net.length - w + 1)) for w, t in net.filters.items() for f in range(t.shape[2])]
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.dense + net.out
+        p = np.exp(z - z.max())
+        total += len(part) * p / p.sum()
+    return total / len(data)
+
+
+def test_op6_equals_plain_network():
+    net = language_id.ByteNetwork.new(["a", "b", "c"], 24, n=4)
+    for text in ["short", "a longer text with some more windows than one, é ü ß", "x" * 24, "漢字" * 9]:
+        assert np.allclose(net.texts([text.encode()])[0], plain_network(net, text), atol=1e-4)
+
+
+def test_op9_equals_plain_trees():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, len(quality_trees.FEATURES)))
+    model = quality_trees.train([(int(a[0] + a[1] > 0), *a) for a in x], trees=5)
+    for row, raw in zip(x, model.raw(x)):
+        plain = model.base
+        for f, t, leaf in zip(model.feature, model.threshold, model.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            plain += leaf[node - len(f)]
+        assert abs(plain - raw) < 1e-9
+
+
+def test_packing_by_slack_to_the_end():
+    """Few documents: nearly all windows are multisets with one cut at most, and all but the last part are full."""
+    rng, packer, out = np.random.default_rng(4), packing.Packer(2048, 0), []
+    for d in range(125):
+        out += packer.add(d, np.arange(rng.integers(1, 5000), dtype="u2"))
+    out += packer.finish()
+    windows = defaultdict(list)
+    for p, seq, offset in out:
+        assert offset == sum(len(q.ids) for q in windows[seq])
+        windows[seq].append(p)
+    sizes = [sum(len(p.ids) for p in w) for w in windows.values()]
+    assert sum(s != 2048 for s in sizes) <= 11 and all(s & (s - 1) == 0 for s in sizes)
+    pieces = Counter(p.doc for p, _, _ in out)
+    assert sum(pieces.values()) - sum(-(-p.doc_tokens // 2048) for p in {q.doc: q for q, _, _ in out}.values()) <= 1.2 * len(windows) ** 0.5 + 60
+
+
+def test_ids_from_a_checkpoint():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 900, token_binary.BLOCK + 77)
+    known, counts = np.unique(ids, return_counts=True)
+    f = token_binary.Frequencies(known, counts)
+    for b, part in zip(token_binary.encode_segment(ids, f), (ids[: token_binary.BLOCK], ids[token_binary.BLOCK :])):
+        for a, z in ((0, 5), (len(part) // 2, len(part) // 2 + 9), (len(part) - 3, len(part))):
+            assert (token_binary.decode_range(b, f, a, z) == part[a:z]).all()
