@@ -142,9 +142,9 @@ def epub(path: str, data: bytes) -> Parts:
     book = next((n for n in z.namelist() if n.endswith(".opf")), None)
     if book:
         root = ElementTree.fromstring(z.read(book))
-        href = {i.get("id"): i.get("href") for i in root.iter() if i.tag.endswith("}item")}
+        href = {i.get("id"): i.get("href") for i in root.iter() if i.tag.rpartition("}")[2] == "item"}
         base = book.rpartition("/")[0]
-        order = [f"{base}/{href.get(i.get('idref'))}".lstrip("/") for i in root.iter() if i.tag.endswith("}itemref")]
+        order = [f"{base}/{href.get(i.get('idref'))}".lstrip("/") for i in root.iter() if i.tag.rpartition("}")[2] == "itemref"]
         pages = [n for n in order if n in z.namelist()] or pages
     return [("\n".join(html_text(z.read(n).decode("utf-8", "replace")) for n in pages), {"category": "epub"})]
 

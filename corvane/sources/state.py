@@ -67,7 +67,7 @@ def load_json(spark: SparkSession, path: str, default=None):
     at, fs = _fs(spark, path)
     if not fs.exists(at):
         return default
-    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def save_json(spark: SparkSession, path: str, value) -> None:
