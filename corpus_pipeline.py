@@ -18,11 +18,11 @@ from corvane.llm.common import columns, free_name, materialised, words
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null and letterless documents; the limit of a quarter of the votes bites only with more than four learned languages."""
+    """Drops null and letterless documents, and those without a language of two fifths of the votes."""
     net = language_id.learn(docs)
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     got = language_id.predicted(docs, net, lang, score)
-    return got.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= 0.25)).select(*columns(docs))
+    return got.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= 0.4)).select(*columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: int = 100_000) -> DataFrame:
