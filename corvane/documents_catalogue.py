@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .catalogue import _DETAIL, _HITS, _cited, _hits, _query, _t, _talks, _vectors
 from .functions import text as T
 from .models import model
-from .operators import cite, dedup, extract, pages, retrieve, rules, sections, store, structure, tables
+from .operators import cite, dedup, extract, layout, pages, retrieve, rules, sections, store, structure, tables
 from .plans import corpus
 from .session import shared_dir
 from .sources import files, state
@@ -312,3 +312,70 @@ def q69_upsert_applied(spark, d):
     stored = r.select(F.col("r_name").alias("ref"), F.lit("a").alias("hash"))
     batch = r.where("r_regionkey < 4").select(F.col("r_name").alias("ref"), F.when(F.col("r_regionkey") < 3, "b").otherwise("a").alias("hash"), F.lit(0).alias("pos"))
     return store.apply_upsert(stored, store.upsert_diff(batch, stored).select("ref", "hash"), store.deletes(batch, stored))
+
+
+_PLACE = "CASE page_id % 3 WHEN 0 THEN '/a/p' || page_id || '.xlsx' WHEN 1 THEN '/a/p' || page_id || '.md' ELSE '/a/p' || page_id END"
+
+
+@_query(f"SELECT DISTINCT regexp_extract({_PLACE}, '[.][^./]+$') AS suffix FROM pages")
+def q70_suffixes(spark, d):
+    return files.suffixes(_t(spark, d, "pages").select(F.expr(_PLACE).alias("path")))
+
+
+@_query(f"SELECT page_id FROM pages WHERE NOT ends_with({_PLACE}, '.xlsx')")
+def q71_without_sheets(spark, d):
+    return files.without_sheets(_t(spark, d, "pages").select("page_id", F.expr(_PLACE).alias("path"))).select("page_id")
+
+
+@_query("""SELECT 'd' || doc_id AS id, text, 'b' AS hidden FROM documents""")
+def q72_documents_as_nodes(spark, d):
+    """Documents to nodes and back: what the embedder leaves out, the model leaves out too."""
+    docs = _t(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text", F.create_map(F.lit("a"), F.lit(1)).alias("metadata"), F.array(F.lit("b")).alias("excluded_embed"))
+    return files.document_of(files.node_of(docs)).select("id", "text", F.array_join("excluded_llm", ",").alias("hidden"))
+
+
+@_query("""SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS page FROM conversations QUALIFY page IN (0, 2)""")
+def q73_page_selection(spark, d):
+    return pages.to_markdown(_styled(spark, d), pages=[0, 2]).select("doc", F.col("page").cast("int").alias("page"))
+
+
+@_query("""SELECT doc_id, len(string_split(replace(replace(text || chr(10) || chr(10) || 'x' || chr(10) || 'y', chr(10) || chr(10), '  ' || chr(10)), chr(10) || chr(10), chr(10)), chr(10))) AS n_lines FROM documents""")
+def q74_page_lines(spark, d):
+    ls = pages.page_lines(F.concat("text", F.lit("\n\nx\ny")))
+    return _t(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(ls)).cast("long").alias("n_lines"))
+
+
+@_query("""SELECT n_regionkey, CAST(count(*) AS INT) AS row_count, 2 AS col_count FROM nation GROUP BY 1""")
+def q75_table_dimensions(spark, d):
+    rows = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.array(F.col("n_nationkey").cast("string"), F.col("n_name"))).alias("t"))
+    return rows.select("n_regionkey", tables.dimensions(F.col("t")).alias("x")).select("n_regionkey", "x.row_count", "x.col_count")
+
+
+@_query("""SELECT s_suppkey % 7 AS page, s_suppkey AS rect, CAST(row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_acctbal, s_nationkey, s_suppkey) AS INT) AS place FROM supplier""")
+def q76_reading_order(spark, d):
+    boxes = _t(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("page"), F.col("s_suppkey").alias("rect"), F.col("s_acctbal").alias("y1"), (F.col("s_nationkey") + F.col("s_suppkey") / 1e9).alias("x0"))
+    return layout.in_order(boxes).select("page", "rect", "place")
+
+
+@_query("""WITH l AS (SELECT l_orderkey % 30 AS page, row_number() OVER (PARTITION BY l_orderkey % 30 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line, l_extendedprice AS y0, CAST(l_partkey AS DOUBLE) AS x0 FROM lineitem),
+t AS (SELECT s_suppkey % 30 AS page, s_suppkey AS tab, s_acctbal * 3 AS y1 FROM supplier)
+SELECT page, tab, line FROM (SELECT t.page, tab, line, row_number() OVER (PARTITION BY t.page, tab ORDER BY y0, x0, line) AS n FROM t JOIN l ON l.page = t.page AND y1 <= y0) WHERE n = 1""")
+def q77_table_before_line(spark, d):
+    w = W.partitionBy(F.col("l_orderkey") % 30).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    ls = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 30).alias("page"), F.row_number().over(w).alias("line"), F.col("l_extendedprice").alias("y0"), F.col("l_partkey").cast("double").alias("x0"))
+    ts = _t(spark, d, "supplier").select((F.col("s_suppkey") % 30).alias("page"), F.col("s_suppkey").alias("tab"), (F.col("s_acctbal") * 3).alias("y1"))
+    return layout.tables_before(ls, ts)
+
+
+@_query("""SELECT DISTINCT conv_id, '<h3>Q ' || conv_id || '</h3>' || chr(10) || '<ul>' || chr(10) || '<li>a <strong>b</strong></li>' || chr(10) || '</ul>' || chr(10) || '<p>end.</p>' || chr(10) AS html FROM conversations""")
+def q78_markdown_as_html(spark, d):
+    c = _t(spark, d, "conversations").select("conv_id").distinct()
+    return c.select("conv_id", cite.as_html(F.concat(F.lit("### Q "), F.col("conv_id"), F.lit("\n- a **b**\n\nend\\."))).alias("html"))
+
+
+@_query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE coalesce(nullif(lang, ''), source) END AS first FROM documents""")
+def q79_first_filled(spark, d):
+    """The first of some fields that is neither null nor empty."""
+    x = _t(spark, d, "documents")
+    gone = F.col("doc_id") % 4 == 0
+    return x.select("doc_id", cite.first_filled(F.when(~gone, F.col("lang")), F.when(gone, "").otherwise(F.col("source"))).alias("first"))

@@ -92,8 +92,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both
+    return F.when(union > 0, both / union).otherwise(0.0)
 
 
 def is_watermark(text: Column, short: str, long: str) -> Column:
