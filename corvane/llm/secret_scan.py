@@ -37,6 +37,7 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api_key", "apikey")
 #: would walk an identifier again for each word in it; candidates() finds the same and walks it once.
 _SENSITIVE = "(?:key|pwd|pass|secret|token|auth|bearer|credential|private|signature|session|cookie|salt|cert)"
 _AFTER = r"[\"']?[\x20\t]{0,4}(?:[:=]>?|[\x20\t]is|[\x20\t]|\()[\x20\t]{0,4}[\"'`]?(?=[A-Za-z0-9+/_=~.-]{12})"
+_HINTS = _SENSITIVE[3:-1].split("|")  # most texts have none, and a plain search tells
 _CONTEXT = re.compile(f"{_SENSITIVE}[A-Za-z0-9_]*{_AFTER}", re.ASCII | re.IGNORECASE)
 _WORDS, _REST, _BETWEEN = re.compile(_SENSITIVE, re.ASCII | re.IGNORECASE), re.compile("[A-Za-z0-9_]*"), re.compile(_AFTER, re.ASCII | re.IGNORECASE)
 _STRING, _DIGIT = re.compile(r"[A-Za-z0-9+/_=~.-]+"), re.compile("[0-9]")
@@ -91,8 +92,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of strings in sensitive contexts, whatever their content; those of one string end together."""
-    walked, end, out = 0, 0, set()
-    for m in _WORDS.finditer(text):
+    walked, end, out, low = 0, 0, set(), text.lower()
+    for m in _WORDS.finditer(text) if any(h in low for h in _HINTS) else ():
         if m.end() <= walked:
             continue
         walked = _REST.match(text, m.end()).end()
