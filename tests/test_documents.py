@@ -96,7 +96,7 @@ def test_page_parts():
     got = pages.render(page)
     assert "in the table" not in got and got.startswith("# Long\n") and got.index("|t|") < got.index("## and wide\n") < got.index("[click](u) **_b_**\n") < got.index("\n-  item\n")
     assert "```\nx = 1\n" in got and got.index("![i.png](i.png)") < got.index("cut") and "cut\noff" in got
-    two = {**page, "tables": [], "images": [], "links": [], "lines": [line(0, [span("A title of", 20)]), line(1, [span("two lines", 20)])]}
+    two = {**page, "tables": [], "images": [], "links": [], "lines": [line(0, [span("A title of", 20)]), line(1, [span("two lines", 20)]) | {"y0": 12.0, "y1": 22.0}]}
     assert pages.render(two).startswith("# A title of two lines\n")
     assert pages.margins(3) == (3, 3, 3, 3) and pages.margins((1, 2)) == (0, 1, 0, 2)
     with pytest.raises(ValueError):
