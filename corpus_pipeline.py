@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents.  All but the last return
 the columns of documents.
+
+For all stages: a null in any column but text is a value like others and is kept; an
+empty table gives an empty one; a very long text is handled whole; columns may have any
+names, also those that an operator uses itself.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from corvane.llm.common import columns, free_name, materialised, words
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null and letterless documents, and those without a language of two fifths of the votes."""
+    """Drops null and letterless documents, and those without a language of two fifths of the votes; equal rows go or stay together.  Empty texts are letterless."""
     net = language_id.learn(docs)
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     got = language_id.predicted(docs, net, lang, score)
@@ -26,7 +30,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: int = 100_000) -> DataFrame:
-    """One document of each class of near-duplicates stays, the one with the least doc_id; rows that repeat it go too."""
+    """One document of each class of near-duplicates stays, the one with the least doc_id (null first, then the least md5); rows that repeat it go too.
+
+    Null, empty and blank texts are no copies of anything and all stay.
+    """
     classes, keepers = near_dedup.near_classes(docs.select("doc_id", "text"))
     own = keepers.select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"), F.col("n").alias("k_n"))
     # rows of classes of two and more, and whether they are the ones that stay
@@ -43,13 +50,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, hold: in
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; the documents stay."""
+    """Secrets are replaced by a mark; the documents stay, null and empty texts as they are, and n_chars follows the text."""
     got = secret_scan.redact(docs, secret_scan.identifiers(docs))
     return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns(docs)) if "n_chars" in docs.columns else got
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.  Documents without words count nothing; of equal rows as many are taken as are needed."""
     size = F.size(words(F.col("text"))).cast("long")
     how = mixing.plan(docs, size, mixing.favoured(size))
     got = mixing.with_copies(docs, how, size, mixing.favoured(size)).where("copies > 0")
@@ -57,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 tokens; each row is a piece of a document with its ids."""
+    """Windows of 2048 tokens; each row is a piece of a document with its ids.  Null and empty texts are the end id alone; repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
