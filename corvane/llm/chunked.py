@@ -141,6 +141,11 @@ def encoder(path: str, max_entries: int = 400_000) -> ChunkEncoder:
     return _made[key]
 
 
+def release() -> None:
+    """Forgets the worker's encoders and their caches; a stage that encodes nothing calls it, as workers go on from stage to stage."""
+    _made.clear()
+
+
 def slices(texts: list[str | None], chars: int = 4_000_000):
     """Consecutive ranges of texts with about so many characters each, one text at least."""
     i, n = 0, 0
