@@ -70,13 +70,17 @@ def points_in_rects(points: DataFrame, rects: DataFrame, cell: float = 16.0) ->
 def tables_before(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """For each table (page, tab, y1) the first line (page, line, y0, x0) that starts at its end or below; each table once.
 
-    Lines and tables of a page are put in one order, downwards, and the next line
-    behind a table is its line, so nothing is paired.
+    Lines and tables of a page are put in one order, upwards, and the last line
+    before a table is its line, so nothing is paired and each row is looked at once.
+    A table told more than once ends where the highest of them does; lines and tables
+    without a page or a height meet nothing; a line without x0 is the last of its height.
     """
+    ends = tables.groupBy("page", "tab").agg(F.min("y1").alias("y"))
     one = lines.select("page", F.col("y0").alias("y"), F.lit(1).alias("kind"), "x0", "line", F.lit(None).cast("long").alias("tab"))
-    two = tables.select("page", F.col("y1").alias("y"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("x0"), F.lit(None).cast(dict(lines.dtypes)["line"]).alias("line"), F.col("tab").cast("long").alias("tab"))
-    behind = W.partitionBy("page").orderBy("y", "kind", "x0", "line").rowsBetween(0, W.unboundedFollowing)
-    rows = one.unionByName(two).withColumn("next", F.first("line", ignorenulls=True).over(behind))
+    two = ends.select("page", "y", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("x0"), F.lit(None).cast(dict(lines.dtypes)["line"]).alias("line"), F.col("tab").cast("long").alias("tab"))
+    # upwards, as Spark walks a frame that ends at the current row once, and one that starts there anew for each row
+    upwards = W.partitionBy("page").orderBy(F.desc("y"), F.desc("kind"), F.desc_nulls_first("x0"), F.desc("line")).rowsBetween(W.unboundedPreceding, 0)
+    rows = one.unionByName(two).where("page is not null and y is not null").withColumn("next", F.last("line", ignorenulls=True).over(upwards))
     return rows.where("kind = 0 and next is not null").select("page", F.col("tab").cast(dict(tables.dtypes)["tab"]).alias("tab"), F.col("next").alias("line"))
 
 

@@ -187,6 +187,22 @@ def test_first_table_line(spark):
     assert [tuple(r) for r in layout.tables_before(lines, tabs).collect()] == [(0, 7, 2)]
 
 
+def test_first_table_line_walks_each_row_once(spark):
+    lines = spark.range(30_000).selectExpr("0 page", "int(id) line", "double(id % 15000) y0", "double(id % 7) x0")
+    tabs = spark.range(3_000).selectExpr("0 page", "int(id) tab", "id * 5 - 0.5 y1")
+    got = layout.tables_before(lines, tabs)
+    # a frame from the current row to the end is summed up anew for each row
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    first = {t: min((i for i in (5 * t, 5 * t + 15_000)), key=lambda i: (i % 7, i)) for t in range(3_000)}
+    assert {r["tab"]: r["line"] for r in got.collect()} == first
+
+
+def test_first_table_line_of_odd_rows(spark):
+    lines = spark.createDataFrame([(0, 1, None, 0.0), (0, 2, 5.0, None), (0, 3, 5.0, 8.0), (0, 4, 9.0, 1.0), (None, 5, 9.0, 1.0)], "page int, line int, y0 double, x0 double")
+    tabs = spark.createDataFrame([(0, 1, 5.0), (0, 1, 7.0), (0, 2, None), (None, 3, 1.0), (0, 4, 10.0), (0, 5, 5.5)], "page int, tab int, y1 double")
+    assert sorted(tuple(r) for r in layout.tables_before(lines, tabs).collect()) == [(0, 1, 3), (0, 5, 4)]
+
+
 def test_person_pattern_has_the_same_matches(spark):
     rnd = random.Random(6)
     parts = ["ann", "lee", "a.b", " ", "  ", "@", "x@y", ".com 12345678", ".com", " 12345678", "\n", "_", "%-"]
