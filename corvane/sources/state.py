@@ -7,6 +7,8 @@ import inspect
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -114,21 +116,26 @@ def list_families(spark: SparkSession, folder: str) -> list[str]:
 
 
 # -- file cache -----------------------------------------------------------
-def add_to_cache(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
-    """Adds loaded documents (path, checksum, ...) to the cache table; those of a path and checksum that it has are left out.
+def add_to_cache(spark: SparkSession, folder: str, documents: DataFrame, file: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Adds loaded documents (path, checksum, ...) to the cache table; those of a file and checksum that it has are left out.
 
-    An entry keeps ``entry``, the version that brought it; one earlier version of the
-    whole cache stays.
+    ``file`` are the columns that tell files apart, more than the path where several
+    files can have one.  An entry keeps ``entry``, the version that brought it; one
+    earlier version of the whole cache stays.
     """
     old = newest(spark, folder)
-    fresh = documents if old is None else documents.join(old.select("path", "checksum").distinct(), ["path", "checksum"], "left_anti")
+    if old is None:
+        fresh = documents
+    else:
+        known = old.select(*[F.col(c).alias(f"_{c}") for c in (*file, "checksum")]).distinct()
+        fresh = documents.join(known, reduce(and_, [F.col(c[1:]).eqNullSafe(F.col(c)) for c in known.columns]), "left_anti")
     fresh = fresh.withColumn("entry", F.lit((versions(spark, folder) or [-1])[-1] + 1))
     return save(fresh if old is None else old.unionByName(fresh), folder)
 
 
-def cache_index(cache: DataFrame) -> DataFrame:
-    """path, checksum: the latest entry of each path.  The documents of earlier ones are still in the cache."""
-    return cache.groupBy("path").agg(F.max_by("checksum", "entry").alias("checksum"))
+def cache_index(cache: DataFrame, file: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The columns of ``file``, checksum, n_documents: the latest entry of each file, and how many documents the cache has of it, those of earlier entries too."""
+    return cache.groupBy(*file).agg(F.max_by("checksum", "entry").alias("checksum"), F.count("*").cast("int").alias("n_documents"))
 
 
 def one_path(documents: DataFrame) -> str | None:

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import duckdb
 import pytest
 
 from corvane.models import model
@@ -191,3 +192,23 @@ def test_extraction_resumes(spark, tmp_path):
     assert two.merged.count() == 1 and two.payload.first()["requirements_raw_count"] == 2
     corpus.save_payload(spark, two, f"{d}/final.json")
     assert state.load_json(spark, f"{d}/final.json")["article_nodes_cached_or_processed"] == 2
+
+
+def test_file_cache_of_pages_with_one_address(spark, tmp_path):
+    from corvane import catalogue
+
+    rows = [(0, "/a", "x"), (1, "/a", "y"), (2, "/a", "y"), (3, "/b", "z"), (4, None, "z"), (6, None, "z")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    told = con.execute(catalogue.oracle_sql()["q65_file_cache"]).fetchall()
+    got = catalogue.queries()["q65_file_cache"](spark, f"file://{tmp_path}").select("path", "checksum", "n_documents").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, told)) and len(got) == 6
+
+
+def test_file_cache_by_path(spark, tmp_path):
+    """Files that their path tells apart: the latest checksum, and the documents of all entries."""
+    load = lambda *rows: state.add_to_cache(spark, f"file://{tmp_path}/cache", spark.createDataFrame(rows, "path string, checksum string, text string"))
+    load(("/a", "1", "one"), ("/a", "1", "two"), ("/b", None, "three"))
+    cache = load(("/a", "2", "four"), ("/b", None, "three"))
+    assert sorted(tuple(r) for r in state.cache_index(cache).collect()) == [("/a", "2", 3), ("/b", None, 1)]
