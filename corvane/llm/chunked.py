@@ -12,13 +12,16 @@ The caches hold a bounded number of pieces per Python worker and only affect spe
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 
 _SPACE = "\t\n\x0b\x0c\r\xa0"
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -117,8 +120,15 @@ class ChunkEncoder:
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(marked(piece))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        """A chunk of one piece is kept as a chunk alone, and a chunk's first piece is a chunk itself, so a word is kept once."""
         found = self.find(self._of_chunk(chunk))
-        return self.pieces[found[0]] if len(found) == 1 else b"".join([self.pieces[p] for p in found])
+        if len(found) == 1:
+            return self._piece(found[0])
+        out = [self.pieces[p] for p in found[1:]]
+        for p in found[:1]:
+            own = p if self.kind == "word" else p[1:] if p[0] == " " else ""
+            out.insert(0, self.chunks[own] if own else self.pieces[p])
+        return b"".join(out)
 
     def one(self, text: str | None) -> bytes:
         """Packed ids (``self.dtype``) of a text; null counts as empty."""
@@ -146,6 +156,28 @@ def release() -> None:
     _made.clear()
 
 
+def trim() -> None:
+    """Gives memory that nothing holds back to the system, where the C library and Arrow can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def afresh(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that encodes nothing: what the worker's earlier stages hold goes before it, what it has held goes behind it.
+
+    Idle workers count beside an executor's heap, which can be full in the next stage.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        release()
+        trim()
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def slices(texts: list[str | None], chars: int = 4_000_000):
     """Consecutive ranges of texts with about so many characters each, one text at least."""
     i, n = 0, 0

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunked import encoder, release, slices
+from .chunked import afresh, encoder, slices
 from .common import Scratch, drop_scratch, running, scratch_path, small_batches, table
 
 #: Fixed values of the format: frequency bits, least state, states of a block, steps of a block, steps between checkpoints.
@@ -160,7 +160,7 @@ def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Rows of tokens (part, doc_id, ids), and for each task its counts of ids (doc_id null, ids null, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, press = encoder(path), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        enc, part, press = encoder(path, 700_000), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         total = np.zeros(max(enc.vocabulary, end_id + 1), np.int64)
         end = np.array([end_id], enc.dtype).tobytes()
 
@@ -211,7 +211,6 @@ def _segments(tokens: DataFrame, f: Frequencies, vocabulary: int, segment: int)
     dtype = np.dtype("<u2") if vocabulary <= 65_536 else np.dtype("<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         task, number, size, now = TaskContext.get().partitionId(), 0, 0, None
         names: list[int | None] = []
         held: list[bytes] = []
@@ -239,7 +238,7 @@ def _segments(tokens: DataFrame, f: Frequencies, vocabulary: int, segment: int)
             yield flush()
 
     small_batches(tokens.sparkSession)
-    return tokens.select("part", "doc_id", "ids").mapInArrow(run, SEGMENT)
+    return tokens.select("part", "doc_id", "ids").mapInArrow(afresh(run), SEGMENT)
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, segment: int = 32 * BLOCK, part_bytes: int = 48 << 20) -> None:
@@ -285,7 +284,6 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     places = running(some, ["first", "part", "low", "segment"], Scratch(spark), value="n").select("segment", F.coalesce("before", F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for row in range(batch.num_rows):
                 r = batch.slice(row, 1).to_pylist()[0]
@@ -301,7 +299,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
                 )
 
     small_batches(spark, 8)
-    got = segments.select("segment", "docs", "lengths", "blocks").mapInArrow(run, "doc_id long, segment long, at long, n_tokens long, ids_crc32 long, ids array<int>")
+    got = segments.select("segment", "docs", "lengths", "blocks").mapInArrow(afresh(run), "doc_id long, segment long, at long, n_tokens long, ids_crc32 long, ids array<int>")
     got = got.join(places, "segment").withColumn("start", F.col("at") + F.col("before"))
     return got.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

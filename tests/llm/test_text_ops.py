@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corvane.llm import language_id, packing, quality_rules, quality_trees, secret_scan, token_binary, token_counts
+from corvane.llm import chunked, language_id, packing, quality_rules, quality_trees, secret_scan, token_binary, token_counts
 from corvane.llm.chunked import ChunkEncoder
 
 from .conftest import rows
@@ -352,3 +352,23 @@ def test_ids_from_a_checkpoint():
     for b, part in zip(token_binary.encode_segment(ids, f), (ids[: token_binary.BLOCK], ids[token_binary.BLOCK :])):
         for a, z in ((0, 5), (len(part) // 2, len(part) // 2 + 9), (len(part) - 3, len(part))):
             assert (token_binary.decode_range(b, f, a, z) == part[a:z]).all()
+
+
+def test_workers_forget_encoders_of_earlier_stages():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    chunked.encoder(path).one("some words")
+    held = []
+
+    def run(batches):
+        held.append(len(chunked._made))
+        yield from batches
+
+    assert list(chunked.afresh(run)(iter([1, 2]))) == [1, 2] and held == [0]
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_kept_once(file):
+    enc, odd = ChunkEncoder(public_tokenizers.path(file)), ["x\ny z", "a\n b", "don't stop'll", "'s o'clock", " .a. b", "a ", "\ta", "naïve x", "$1.50 (abc)... abc"]
+    assert enc.encode(odd) == [enc.whole(t) for t in odd]
+    enc.encode(["grumblefrotz grumblefrotz. and grumblefrotz, again grumblefrotz!"])
+    assert "grumblefrotz" in enc.chunks and not [p for p in enc.pieces if "grumblefrotz" in p]
