@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunked import afresh
 from .common import small_batches, table
 
 UNKNOWN = "und"
@@ -184,7 +185,7 @@ def predicted(docs: DataFrame, net: ByteNetwork | None, lang: str = "_lang", sco
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, lang, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(afresh(run), schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

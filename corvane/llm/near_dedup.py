@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunked import slices
+from .chunked import afresh, slices
 from .common import Scratch, small_batches, table
 
 BANDS, ROWS = 30, 6
@@ -211,7 +211,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     small_batches(docs.sparkSession)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("key"))
-    return some.mapInArrow(run, "doc_id long, key string, weight long, buckets array<long>")
+    return some.mapInArrow(afresh(run), "doc_id long, key string, weight long, buckets array<long>")
 
 
 def count_vector(hashes: np.ndarray) -> tuple[bytes, int]:
@@ -252,7 +252,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, scratch: Scratch
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], ["a", "b"])
 
     small_batches(pairs.sparkSession)
-    return scratch.kept(rows.select("a", "partner", "b", "text").mapInArrow(run, "a long, b long"), "near-links")
+    return scratch.kept(rows.select("a", "partner", "b", "text").mapInArrow(afresh(run), "a long, b long"), "near-links")
 
 
 _MEMBER = "array<struct<node:bigint,label:bigint,weight:bigint,counts:binary,beyond:bigint>>"
@@ -275,7 +275,7 @@ def _possible(left: DataFrame, texts: DataFrame, least: float, scratch: Scratch)
 
     small_batches(left.sparkSession)
     some = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text")
-    some = scratch.kept(some.mapInArrow(vectors, "node long, counts binary, beyond long"), "near-counts")
+    some = scratch.kept(some.mapInArrow(afresh(vectors), "node long, counts binary, beyond long"), "near-counts")
     sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("own"))
     own = F.col("own") > BLOCK // 2
     place = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / BLOCK)))
@@ -311,7 +311,7 @@ def _possible(left: DataFrame, texts: DataFrame, least: float, scratch: Scratch)
                     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     small_batches(left.sparkSession, 16)
-    pairs = scratch.kept(meet.mapInArrow(run, "a long, b long").distinct(), "near-possible")
+    pairs = scratch.kept(meet.mapInArrow(afresh(run), "a long, b long").distinct(), "near-possible")
     small_batches(left.sparkSession)
     return pairs
 

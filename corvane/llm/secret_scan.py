@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunked import afresh
 from .common import small_batches, table
 
 #: The base patterns; least lengths of what they find.
@@ -173,7 +174,7 @@ def scan(docs: DataFrame, known: str, per_char: float = 0.6, around: int = 256)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], base, every], ["doc_id", "text", "base", "spans"])
 
     span = "array<struct<start:int,end:int,kind:string>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, text string, base {span}, spans {span}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(afresh(run), f"doc_id long, text string, base {span}, spans {span}")
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -205,7 +206,7 @@ def redact(docs: DataFrame, known: str, text: str = "text", per_char: float = 0.
             new = pa.array([redacted(t, find(t, novelty, per_char, around)[1]) for t in texts], batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(afresh(run), docs.schema)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
