@@ -143,11 +143,12 @@ class ChunkEncoder:
 _made: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str, max_entries: int = 400_000) -> ChunkEncoder:
-    """One encoder per Python worker and file."""
+def encoder(path: str, max_entries: int = 349_525) -> ChunkEncoder:
+    """One encoder per Python worker and file.  A dict of one entry more than 2/3 * 2**19 takes twice the table."""
     key = (path, max_entries)
     if key not in _made:
         _made[key] = ChunkEncoder(path, max_entries)
+        trim()  # reading the file takes as much as it leaves
     return _made[key]
 
 

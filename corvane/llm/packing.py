@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunked import encoder, slices
+from .chunked import encoder, slices, trim
 from .common import small_batches, table
 
 #: Rows of the result.
@@ -172,6 +172,26 @@ class Packer:
         return out
 
 
+def rows(got: list[tuple[Piece, int, int]], with_ids: bool, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """SCHEMA batches of ``most`` ids each, one piece at least: a pool gives millions at once, which would lie in this process and in the JVM several times."""
+    i, n = 0, 0
+    for j in range(len(got) + 1):
+        size = len(got[j][0].ids) if j < len(got) else most + 1
+        if j > i and n + size > most:
+            some, values, ends = got[i:j], np.empty(n, "<i4"), np.cumsum([0, *(len(p.ids) for p, _, _ in got[i:j])])
+            for (p, _, _), a, b in zip(some, ends, ends[1:]):
+                values[a:b] = p.ids
+            columns = [
+                [p.doc for p, _, _ in some], [p.start for p, _, _ in some], np.diff(ends), [zlib.crc32(values[a:b]) for a, b in zip(ends, ends[1:])],
+                [p.doc_tokens for p, _, _ in some], [s for _, s, _ in some], [o for _, _, o in some],
+            ]
+            arrays = [pa.array(c, pa.int64()) for c in columns]
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)) if with_ids else pa.nulls(len(some), pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            i, n = j, 0
+        n += size
+
+
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """SCHEMA rows, one for each piece of each row of ``docs`` (doc_id, text; other columns are dropped).
 
@@ -185,16 +205,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, with
         enc = encoder(path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
 
-        def rows(got: list[tuple[Piece, int, int]]) -> pa.RecordBatch:
-            ids = [p.ids.astype("<u4") for p, _, _ in got]
-            columns = [
-                [p.doc for p, _, _ in got], [p.start for p, _, _ in got], [len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids],
-                [p.doc_tokens for p, _, _ in got], [s for _, s, _ in got], [o for _, _, o in got],
-            ]
-            arrays = [pa.array(c, pa.int64()) for c in columns]
-            arrays.append(pa.array([x.astype("i4") for x in ids] if with_ids else [None] * len(ids), pa.list_(pa.int32())))
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             names, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
@@ -202,10 +212,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, with
                 out = []
                 for doc, text in zip(names[i:j], texts[i:j]):
                     out += packer.add(doc, np.frombuffer(enc.one(text) + end, enc.dtype))
-                if out:
-                    yield rows(out)
-        if out := packer.finish():
-            yield rows(out)
+                yield from rows(out, with_ids)
+        yield from rows(packer.finish(), with_ids)
+        trim()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
 

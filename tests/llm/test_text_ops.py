@@ -6,10 +6,12 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -372,3 +374,32 @@ def test_a_word_is_kept_once(file):
     assert enc.encode(odd) == [enc.whole(t) for t in odd]
     enc.encode(["grumblefrotz grumblefrotz. and grumblefrotz, again grumblefrotz!"])
     assert "grumblefrotz" in enc.chunks and not [p for p in enc.pieces if "grumblefrotz" in p]
+
+
+def test_packed_ids_leave_in_small_batches(monkeypatch):
+    class Docs:
+        sparkSession = None
+
+        def selectExpr(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(packing, "small_batches", lambda _: None)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    path, texts = WORDS, [" ".join("abcdefghij"[i % 10] for _ in range(700 + i % 7)) for i in range(3000)] + [None, "", "word " * 5000]
+    run, most, ids, size = packing.pack(Docs(), path), 0, {}, 0
+    for batch in run(iter([pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})])):
+        most = max(most, batch.nbytes)
+        for r in batch.to_pylist():
+            assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["sequence_id"] >> 40 == 3
+            ids.setdefault(r["doc_id"], {})[r["start"]] = r["ids"]
+            size += r["length"]
+    known = {t: [*ids_of(path, t), 1] for t in set(texts)}
+    assert size > 2_000_000 and most < 5_000_000
+    assert [sum((p for _, p in sorted(ids[i].items())), []) for i in range(len(texts))] == [known[t] for t in texts]
+    plain = packing.pack(Docs(), path, with_ids=False)
+    got = [r for b in plain(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a", None]})])) for r in b.to_pylist()]
+    assert sum(r["length"] for r in got) == 3 and {r["ids"] for r in got} == {None}
+    assert list(plain(iter([]))) == []
