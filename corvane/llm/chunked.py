@@ -88,6 +88,10 @@ class ChunkEncoder:
             self.kind = "word"
         else:
             self.kind = "whole"
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        model = spec["model"]
+        #: Whether the ids of a pre-token are what the merges alone make of its bytes.
+        self.plain = self.kind == "byte" and model["type"] == "BPE" and not any(model.get(k) for k in odd)
         self.pieces = Kept(self._piece, max_entries)
         self.chunks = Kept(self._chunk, max_entries)
         self.find = (_WORD_PIECES if self.kind == "word" else _BYTE_PIECES).findall
@@ -140,18 +144,22 @@ class ChunkEncoder:
         return [self.one(t) for t in texts]
 
 
-_made: dict[tuple[str, int], ChunkEncoder] = {}
+_made: dict[tuple, object] = {}
 
 
-def encoder(path: str, max_entries: int = 349_525) -> ChunkEncoder:
-    """One encoder per Python worker and file.  A dict of one entry more than 2/3 * 2**19 takes twice the table."""
-    key = (path, max_entries)
+def memo(key: tuple, make: Callable):
+    """What ``make`` gives, once per Python worker and key."""
     if key not in _made:
-        _made[key] = ChunkEncoder(path, max_entries)
+        _made[key] = make()
         trim()  # reading the file takes as much as it leaves
     return _made[key]
 
 
+def encoder(path: str, max_entries: int = 349_525) -> ChunkEncoder:
+    """One encoder per Python worker and file.  A dict of one entry more than 2/3 * 2**19 takes twice the table."""
+    return memo((path, max_entries), lambda: ChunkEncoder(path, max_entries))
+
+
 def release() -> None:
     """Forgets the worker's encoders and their caches; a stage that encodes nothing calls it, as workers go on from stage to stage."""
     _made.clear()

@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunked import afresh, encoder, slices
+from .batched import column_encoder
+from .chunked import afresh, encoder
 from .common import Scratch, drop_scratch, running, scratch_path, small_batches, table
 
 #: Fixed values of the format: frequency bits, least state, states of a block, steps of a block, steps between checkpoints.
@@ -160,8 +161,8 @@ def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Rows of tokens (part, doc_id, ids), and for each task its counts of ids (doc_id null, ids null, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, press = encoder(path, 700_000), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
-        total = np.zeros(max(enc.vocabulary, end_id + 1), np.int64)
+        enc, part, press = column_encoder(path), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        total = np.zeros(max(enc.rules.vocabulary, end_id + 1), np.int64)
         end = np.array([end_id], enc.dtype).tobytes()
 
         def rows(names: list, ids: list, counts: list) -> pa.RecordBatch:
@@ -169,11 +170,12 @@ def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "ids", "counts"])
 
         for batch in batches:
-            names, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for i, j in slices(texts, 2_000_000):
-                packed = [enc.one(t) + end for t in texts[i:j]]
-                total += np.bincount(np.frombuffer(b"".join(packed), enc.dtype), minlength=len(total))
-                yield rows(names[i:j], [press.compress(p) for p in packed], [None] * (j - i))
+            names = batch["doc_id"].to_pylist()
+            for i, j, ids, ends in enc.encode(batch["text"]):
+                total += np.bincount(ids, minlength=len(total))
+                total[end_id] += j - i
+                raw, at = ids.tobytes(), (ends * enc.dtype.itemsize).tolist()
+                yield rows(names[i:j], [press.compress(raw[a:b] + end) for a, b in zip([0, *at], at)], [None] * (j - i))
         yield rows([None], [None], [zlib.compress(total.astype("<i8").tobytes())])
 
     small_batches(docs.sparkSession)

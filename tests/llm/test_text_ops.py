@@ -13,9 +13,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import tokenizers
+import zstandard
 from tokenizers import Tokenizer
 
-from corvane.llm import chunked, language_id, packing, quality_rules, quality_trees, secret_scan, token_binary, token_counts
+from corvane.llm import batched, chunked, language_id, packing, quality_rules, quality_trees, secret_scan, token_binary, token_counts
 from corvane.llm.chunked import ChunkEncoder
 
 from .conftest import rows
@@ -403,3 +405,66 @@ def test_packed_ids_leave_in_small_batches(monkeypatch):
     got = [r for b in plain(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a", None]})])) for r in b.to_pylist()]
     assert sum(r["length"] for r in got) == 3 and {r["ids"] for r in got} == {None}
     assert list(plain(iter([]))) == []
+
+
+def words_of(rnd, n, letters="etaoinshré'."):
+    return ["".join(rnd.choices(letters, k=rnd.randint(1, 9))) for _ in range(n)]
+
+
+def test_op3_asks_the_library_for_many_words_at_a_time(monkeypatch):
+    class Docs:
+        sparkSession = None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    class Asked:
+        def __init__(self, path):
+            self.real = Tokenizer.from_file(path)
+            self.model = SimpleNamespace(tokenize=self.tokenize)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def tokenize(self, text):
+            calls.append(text)
+            return self.real.model.tokenize(text)
+
+    calls, rnd = [], random.Random(8)
+    texts = [" ".join(words_of(rnd, 400)) for _ in range(30)] + [None, "", "a  b", "x\n"]
+    want = [[*ids_of(BYTE, t), 2] for t in texts]
+    monkeypatch.setattr(token_binary, "small_batches", lambda _: None)
+    monkeypatch.setattr(token_binary, "F", SimpleNamespace(col=lambda _: SimpleNamespace(cast=lambda _: SimpleNamespace(alias=lambda _: None))))
+    monkeypatch.setattr(token_binary, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(tokenizers, "Tokenizer", SimpleNamespace(from_file=Asked))
+    chunked.release()
+    out = [r for b in token_binary._tokens(Docs(), BYTE, 2)(iter([pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})])) for r in b.to_pylist()]
+    chunked.release()
+    assert [np.frombuffer(zstandard.ZstdDecompressor().decompress(r["ids"]), "<u2").tolist() for r in out[:-1]] == want
+    counts = np.frombuffer(zlib.decompress(out[-1]["counts"]), "<i8")
+    assert {i: n for i, n in enumerate(counts.tolist()) if n} == Counter(i for w in want for i in w)
+    assert len(calls) * 5 < len({w for t in texts if t for w in t.split()})
+
+
+def test_columns_give_the_library_ids():
+    rules, rnd = ChunkEncoder(BYTE), random.Random(9)
+    enc, thinned = batched.BatchEncoder(rules, slots=1 << 12, size=1500), []
+    thin = enc._thin
+    enc._thin = lambda: (thin(), thinned.append(enc.held))
+    common = words_of(rnd, 300)
+    texts = [None, *TRICKY, *(r[1] for r in rows()), "à la à, voilà", "they'llx 'sx x'\xa0y", "tab\tand\x00nul", "é" * 300 + " x"]
+    texts += [" ".join(words_of(rnd, 40, "etaoinshr'.é1\n") + rnd.sample(common, 20)) for _ in range(300)]
+    texts += [" ".join(rnd.sample(common, 9)) + "\n" for _ in range(300)] + ["longest " * 700 + "x" * 2000, " ".join(words_of(rnd, 5000))]
+    rnd.shuffle(texts)
+    for column in (pa.array(texts, pa.string()), pa.array(["no", *texts], pa.large_string()).slice(1), pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        got = []
+        for i, j, ids, ends in enc.encode(column):
+            assert i == len(got) and len(ends) == j - i and ends[-1] == len(ids)
+            got += [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        assert got == [np.frombuffer(rules.whole(t or ""), rules.dtype).tolist() for t in column.to_pylist()]
+    assert any(thinned) and len(thinned) > 3  # with some units kept
+    with pytest.raises(ValueError):
+        batched.BatchEncoder(ChunkEncoder(WORDS))
